@@ -1,0 +1,523 @@
+"""The corpus operators against brute force, on sf0.001 and small made-up tables."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tectra.llm import exact_dedup, language, merkle, mixing, near_dedup, packing, pii, secret_scan, token_files, tokens, toxicity
+
+SF = "/root/testdata/sf0.001"
+SPACE, WORD = re.compile(r"[\x20\x09-\x0D]+"), re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, digest string, size int, `__gone` int, `__id` int, part string"
+#: Nulls, empty texts, ties, repeated rows, columns with clashing names.
+ODD = [
+    (5, None, "en", "b", 0),
+    (1, "", None, None, 0),
+    (2, "a  b\tc\n", "en", "a", 7),
+    (9, "a b c ", "en", "b", 6),
+    (9, "a b c ", "en", "b", 6),
+    (None, "a b c ", "en", "b", 6),
+    (None, None, None, None, None),
+    (3, "one two three four five six seven", "en", None, 33),
+    (-7, "ONE two three four five six seven", "de", "𝄞", 33),
+    (2**62, "\n\n x \x0b y z  <|endoftext|> \r\n", "de", "￿", 20),
+    (11, "word " * 30000, "en", "b", 150000),
+    (12, "¡ 123 !", None, "a", 7),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").cache()
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return docs.collect()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(*r, "x", "y", 1, 2, 3, "z") for r in ODD], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def normal(text):
+    return SPACE.sub(" ", text or "")
+
+
+# -- 1, exact dedup
+
+
+def check_exact(found, table):
+    groups = defaultdict(list)
+    for doc_id, text in table:
+        groups[normal(text)].append(doc_id)
+    want = Counter()
+    for doc_id, text in table:
+        known = [d for d in groups[normal(text)] if d is not None]
+        keep = min(known, default=None)
+        want[doc_id, keep, len(groups[normal(text)]), doc_id == keep, hashlib.sha256(normal(text).encode()).hexdigest()] += 1
+    assert Counter(map(tuple, found)) == want
+
+
+def test_exact_dedup(docs, rows, odd, empty):
+    check_exact(exact_dedup.exact_duplicates(docs).collect(), [(r.doc_id, r.text) for r in rows])
+    check_exact(exact_dedup.exact_duplicates(odd).collect(), [r[:2] for r in ODD])
+    assert exact_dedup.exact_duplicates(empty).count() == 0
+
+
+def test_drop_exact_duplicates(odd, empty):
+    left = exact_dedup.drop_exact_duplicates(odd)
+    assert left.columns == odd.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in left.collect()) == sorted((d is None, d or 0) for d in (1, 2, 3, -7, 2**62, 11, 12, None, None))
+    assert exact_dedup.drop_exact_duplicates(empty).count() == 0
+
+
+def test_digest_index_batches_equal_one_batch(spark, docs):
+    keyed = docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
+    whole, parts = exact_dedup.DigestIndex(spark), exact_dedup.DigestIndex(spark)
+    whole.flush(keyed)
+    for i in range(3):
+        parts.flush(keyed.filter(F.col("doc_id") % 3 == i))
+        if i == 1:
+            parts.compact()
+    get = lambda x: sorted(map(tuple, x.entries().collect()))
+    assert get(whole) == get(parts)
+    parts.compact()
+    digest = keyed.filter("doc_id = 0").first()["digest"]
+    assert [tuple(r) for r in parts.probe(bytes(digest))] == [t for t in get(whole) if t[0] == digest]
+
+
+# -- 2, mixing
+
+
+def water_level(sizes):
+    sources = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
+    total, target, free = 1.5 * sum(sizes.values()), {}, set(sources)
+    while free:
+        level = (total - sum(target.values())) / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > 2 * sizes[s]}
+        if not over:
+            return target | {s: level * weight[s] for s in free}
+        target |= {s: 2.0 * sizes[s] for s in over}
+        free -= over
+    return target
+
+
+def check_mix(found, table):
+    sizes, source_of = Counter(), {}
+    for doc_id, text, source in table:
+        sizes[source] += len(WORD.findall(text or ""))
+        source_of[doc_id] = source
+    target = water_level(sizes)
+    assert Counter((r.doc_id, r.size) for r in found) == Counter((d, len(WORD.findall(t or ""))) for d, t, _ in table)
+    taken, largest = Counter(), Counter()
+    for r in found:
+        s = source_of[r.doc_id]
+        assert r.source_size == sizes[s] and r.target == pytest.approx(target[s])
+        assert r.taken <= 2 * r.size
+        if r.size:
+            assert r.taken // r.size in (int(target[s] / sizes[s] + 1e-9), -(-target[s] // sizes[s]), int(target[s] / sizes[s]) + 1)
+        taken[s] += r.taken
+        largest[s] = max(largest[s], r.size)
+    for s in sizes:
+        assert abs(taken[s] - target[s]) <= largest[s]
+    return taken, target
+
+
+def test_mixing(docs, rows, odd, empty):
+    table = [(r.doc_id, r.text, r.source) for r in rows]
+    found = mixing.mixed(docs).collect()
+    check_mix(found, table)
+    assert sorted(map(tuple, found)) == sorted(map(tuple, mixing.mixed(docs.repartition(5)).collect()))
+    assert mixing.mixed(odd).count() == len(ODD)
+    assert mixing.mixed(empty).count() == 0
+    assert mixing.mix(odd).columns == odd.columns
+    mixing.mix(odd).collect()
+
+
+def test_mixing_large_source_meets_its_target(spark):
+    table = spark.range(5000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.pmod(F.xxhash64("id"), F.lit(90)) + 1).cast("int")).alias("text"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").otherwise("c").alias("source"))
+    taken, target = check_mix(mixing.mixed(table).collect(), [(r.doc_id, r.text, r.source) for r in table.collect()])
+    for s in target:
+        assert abs(taken[s] - target[s]) <= 60
+    copies = mixing.mix(table).groupBy("doc_id").count()
+    assert copies.agg(F.max("count")).first()[0] <= 2
+
+
+# -- 3, fingerprints
+
+
+def test_fingerprints(docs, rows, empty):
+    found = {r.doc_id: r for r in merkle.edited_fingerprints(docs).collect()}
+    order = sorted(rows, key=lambda r: -r.doc_id)
+    assert len(found) == len(rows)
+    prints = {}
+    for r, following in zip(order, order[1:] + order[:1], strict=True):
+        half, f = len(r.text) // 2, found[r.doc_id]
+        edited = r.text[: len(r.text) - half] + following.text[:half]
+        assert (f.n_chars, f.edited_sha256) == (len(r.text), hashlib.sha256(edited.encode()).hexdigest())
+        for text, mark in ((r.text, f.fingerprint), (edited, f.edited_fingerprint)):
+            assert prints.setdefault(text, mark) == mark
+        assert 0 <= f.near_next <= 1 and 0 <= f.near_edited <= 1
+        assert (f.near_next == 1) >= (r.text == following.text)
+    assert len(set(prints.values())) == len(prints)
+    assert np.mean([f.near_edited > f.near_next for f in found.values()]) > 0.95
+    assert merkle.edited_fingerprints(empty).count() == 0
+
+
+def test_fingerprints_of_odd_rows(odd):
+    found = merkle.edited_fingerprints(odd).collect()
+    assert len(found) == len(ODD)
+    order = sorted(ODD, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    want = Counter()
+    for r, following in zip(order, order[1:] + order[:1], strict=True):
+        text, after = r[1] or "", following[1] or ""
+        half = len(text) // 2
+        want[r[0], len(text), hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()] += 1
+    assert Counter((f.doc_id, f.n_chars, f.edited_sha256) for f in found) == want
+
+
+def test_edits_are_located(spark):
+    lines = [f"line {i} of a text, with words; and more." for i in range(200)]
+    changed = list(lines)
+    changed[17] = "something else"
+    changed.insert(120, "a new line")
+    frame = spark.createDataFrame([("\n".join(lines), "\n".join(changed))], "a string, b string")
+    frame = frame.select(merkle.fingerprint(F.col("a")).alias("a"), merkle.fingerprint(F.col("b")).alias("b"))
+    assert frame.select(merkle.edited_paragraphs(F.col("a"), F.col("b"))).first()[0] == [17, 120]
+    assert frame.select(merkle.likeness(F.col("a"), F.col("b"))).first()[0] > 0.95
+    assert frame.select(merkle.likeness(F.col("a"), F.col("a"))).first()[0] == 1.0
+
+
+# -- 4, token files
+
+
+def test_words_encode_as_whole_texts(rows):
+    enc = tokens.Encoder(tokens.default_path())
+    texts = [r.text for r in rows] + [r[1] or "" for r in ODD] + ["it's  a  'test'", "a\n\nb", "x \ny", " lead", "tail ", "a b c", "don't,don't. 1,000. A.B. é. ½.", "a..", " ", "\n", "tab\tb c", "x\x1cy z"]
+    want = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode(texts)] == want
+
+
+def test_code_lengths_are_optimal_and_limited():
+    rng = np.random.default_rng(4)
+    for n in (2, 3, 50, 700):
+        counts = rng.zipf(1.2, n).clip(1, 10**9)
+        free = token_files.code_lengths(counts, 40)
+        heap = sorted(counts.tolist())
+        cost = 0
+        while len(heap) > 1:
+            a, b = heap.pop(0), heap.pop(0)
+            cost += a + b
+            heap = sorted([*heap, a + b])
+        assert int((free * counts).sum()) == cost
+        tight = token_files.code_lengths(counts, max(1, int(np.ceil(np.log2(n))) + 1))
+        assert tight.max() <= np.ceil(np.log2(n)) + 1
+        assert sum(2.0 ** -int(x) for x in tight if x) <= 1
+
+
+def test_code_round_trip():
+    rng = np.random.default_rng(5)
+    ids = np.minimum(rng.zipf(1.3, 5000), 400).astype(np.int64)
+    code = token_files.Code(token_files.code_lengths(np.bincount(ids)))
+    parts = [ids[:1000], ids[1000:1000], ids[1000:]]
+    data = token_files.pack_segment(code, [3, None, 5], parts, 17)
+    (doc_ids, counts, start, out), other = token_files.unpack_segments(code, [data, token_files.pack_segment(code, [1], [ids[:7]], 0)])
+    assert (doc_ids, counts.tolist(), start) == ([3, None, 5], [1000, 0, 4000], 17)
+    assert (out == ids).all() and (other[3] == ids[:7]).all()
+
+
+def check_tokens(found, table):
+    enc = tokens.Encoder(tokens.default_path()).tokenizer
+    start = 0
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.start, r.n_tokens, r.ids_crc32) for r in found), key=lambda r: r[2])
+    assert [g[:2] for g in got] == sorted((d is None, d or 0) for d, _ in table)
+    texts = defaultdict(Counter)
+    for d, t in table:
+        ids = [*enc.encode(t or "", add_special_tokens=False).ids, 0]
+        texts[d is None, d or 0][len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    for *key, first, n, crc in got:
+        assert first == start
+        start += n
+        texts[tuple(key)][n, crc] -= 1
+    assert not any(v for c in texts.values() for v in c.values())
+
+
+def test_token_files(docs, rows, odd, empty):
+    check_tokens(token_files.token_round_trip(docs).collect(), [(r.doc_id, r.text) for r in rows])
+    check_tokens(token_files.token_round_trip(odd).collect(), [r[:2] for r in ODD])
+    assert token_files.token_round_trip(empty).count() == 0
+
+
+# -- 5, toxicity
+
+
+def test_toxicity(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    found = toxicity.scored(docs, labels)
+    held = {r.doc_id: r for r in found.filter("held_out").collect()}
+    truth = [(held[r.doc_id], r.toxic) for r in labels.collect() if r.doc_id in held]
+    assert all(zlib.crc32(str(d).encode()) % 5 == 0 for d in held)
+    assert found.count() == docs.count()
+    agree = np.mean([(r.predicted == 1) == (t == 1) for r, t in truth])
+    found_toxic = np.mean([r.predicted for r, t in truth if t])
+    false_alarm = np.mean([r.predicted for r, t in truth if not t])
+    assert agree > 0.95 and found_toxic > 0.7 and false_alarm < 0.02, (agree, found_toxic, false_alarm)
+
+
+def test_toxicity_of_odd_rows(spark, odd, empty):
+    labels = spark.createDataFrame([(3, 1, None), (3, 0, 1), (9, None, 0), (None, 1, 1)], "doc_id long, toxic int, text string")
+    found = toxicity.scored(odd, labels).collect()
+    assert len(found) == len(ODD) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in found)
+    assert toxicity.scored(empty, labels).count() == 0
+    assert all(r.score == 0.5 for r in toxicity.scored(odd, labels.limit(0)).collect())
+
+
+# -- 6, near duplicates
+
+
+def shingle_set(text, width):
+    words = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in WORD.findall(text or "")]
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def check_near(found, table, width, percent):
+    sets = [shingle_set(t, width) for _, t in table]
+    parent = {d: d for d, _ in table if d is not None}
+
+    def top(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    held = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            held[x].append(i)
+    shared = Counter()
+    for group in held.values():
+        for a in range(len(group)):
+            for b in range(a + 1, len(group)):
+                shared[group[a], group[b]] += 1
+    for (a, b), n in shared.items():
+        x, y = table[a][0], table[b][0]
+        if x is not None and y is not None and 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
+            low, high = sorted((top(x), top(y)))
+            parent[high] = low
+    want = Counter((d, len(s), top(d) if d is not None else None, d is None or top(d) == d) for (d, _), s in zip(table, sets, strict=True))
+    assert Counter(map(tuple, found)) == want
+
+
+@pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
+def test_near_duplicates(spark, docs, rows, width, percent):
+    check_near(near_dedup.near_duplicates(docs, width=width, percent=percent).collect(), [(r.doc_id, r.text) for r in rows], width, percent)
+
+
+def test_near_duplicates_in_dense_regions(spark):
+    rng = np.random.default_rng(7)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    table = []
+    for family in range(4):
+        base = rng.choice(vocabulary, 150).tolist()
+        for _ in range(60):
+            words = list(base)
+            for at in rng.choice(150, rng.integers(0, 9), replace=False):
+                words[at] = str(rng.choice(vocabulary))
+            table.append((len(table) * 3 + family, " ".join(words)))
+    frame = spark.createDataFrame(table, "doc_id long, text string")
+    check_near(near_dedup.near_duplicates(frame, width=3, percent=85).collect(), table, 3, 85)
+    # Regions of 32 classes force deeper cuts: families stay whole, all but a few at the edge.
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame, width=3, percent=85, region=32).collect()}
+    whole = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame, width=3, percent=85).collect()}
+    assert np.mean([got[d] == whole[d] for d in whole]) > 0.9
+
+
+def test_near_duplicates_of_odd_rows(odd, empty):
+    check_near(near_dedup.near_duplicates(odd, width=3, percent=85).collect(), [r[:2] for r in ODD], 3, 85)
+    assert near_dedup.near_duplicates(empty).count() == 0
+    assert near_dedup.drop_near_duplicates(odd).columns == odd.columns
+    assert near_dedup.drop_near_duplicates(empty).count() == 0
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (7, 300), (400, 400)]
+    found = dict(map(tuple, near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert {k for k, v in found.items() if v == 0} == set(range(41)) | {300}
+    assert {found[x] for x in (100, 150, 200)} == {100}
+
+
+# -- 7, secrets
+
+
+def test_secrets(spark, odd, empty):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows, findings = docs.collect(), secret_scan.generated_findings(spark)
+    found = secret_scan.secrets(docs, findings).collect()
+    said = {r.sha256: r.is_secret for r in found}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    planted, clean = set(), set()
+    for r in rows:
+        planted |= {m for p in (r"AKIA[A-Z0-9]{16}", r"(?<=password=)[0-9a-f]{16,}", r'(?<=token = ")[0-9a-f]{40}') for m in re.findall(p, r.text)}
+        clean |= set(re.findall(r"(?<![0-9])4[0-9]{15}(?![0-9])", r.text))
+    assert planted and clean
+    assert np.mean([said.get(sha(x), False) for x in planted]) > 0.95
+    assert np.mean([said[sha(x)] for x in clean]) < 0.1
+    assert secret_scan.secrets(odd, findings).count() == 0
+    assert secret_scan.secrets(empty, findings).count() == 0
+
+
+def test_forest_on_held_out_findings(spark):
+    trees = secret_scan.train(secret_scan.generated_findings(spark))
+    other = secret_scan.with_features(secret_scan.generated_findings(spark, 2000, seed=77))
+    scored = other.withColumn("score", F.expr("(" + " + ".join(trees) + f") / {len(trees)}D"))
+    assert scored.agg(F.avg(F.expr("CAST((score >= 0.5) = (label = 1) AS INT)"))).first()[0] > 0.95
+
+
+# -- 8, personal data
+
+_BASE = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def brute_spans(text):
+    out = []
+    for kind, pattern in _BASE.items():
+        for m in pattern.finditer(text):
+            digits = re.sub("[^0-9]", "", m[0])
+            luhn = sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+            if kind == "email" or kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")) or kind == "card" and 14 <= len(digits) <= 19 and luhn or kind == "phone" and 10 <= len(digits) <= 15:
+                out.append((kind, *m.span()))
+    return sorted(out, key=lambda s: (s[1], list(_BASE).index(s[0])))
+
+
+TRICKY = ["a@b.c_d@e.f", "x@@y.z", "@a.b", "1.2.3.4.5.6.7.8", "001.02.3.255 256.1.1.1", "+1 (988) 555-2485 4111 1111-1111 1111", "a@b a@b.co. q@-.-", "+1 +12345678901", "4111111111111111111111 5", "+1((( 5555555555 ) 5"]
+
+
+def test_plain_spans():
+    rng = np.random.default_rng(3)
+    made = ["".join(rng.choice(list("a1.@+ -(2)4é"), rng.integers(1, 60))) for _ in range(3000)]
+    for text in TRICKY + made:
+        assert sorted(pii.plain_spans(text), key=lambda s: (s[1], pii.KINDS.index(s[0]))) == brute_spans(text), text
+
+
+def test_personal_data(docs, rows, odd, empty):
+    found = {r.doc_id: r for r in pii.personal_data(docs).collect()}
+    for r in rows:
+        spans = brute_spans(r.text)
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        f = found[r.doc_id]
+        assert [f.n_email, f.n_ip, f.n_card, f.n_phone] == [sum(s[0] == k for s in spans) for k in _BASE]
+        assert f.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and f.spans == joined and not f.n_added
+    assert pii.personal_data(odd).count() == len(ODD)
+    assert pii.personal_data(empty).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "part"),
+    [
+        ("write to jane.doe (at) mail (dot) example (dot) com today", "email", "jane.doe (at) mail (dot) example (dot) com"),
+        ("write to jane at example dot com today", "email", "jane at example dot com"),
+        ("write to jane[at]example.com today", "email", "jane[at]example.com"),
+        ("jane dot doe at example dot co dot uk", "email", "jane dot doe at example dot co dot uk"),
+        ("see jаne@exаmple.com now", "email", "jаne@exаmple.com"),
+        ("see ｊａｎｅ＠ｅｘａｍｐｌｅ．ｃｏｍ now", "email", "ｊａｎｅ＠ｅｘａｍｐｌｅ．ｃｏｍ"),
+        ("call +１ (988) ５55-2485 now", "phone", "+１ (988) ５55-2485"),
+        ("call plus one nine eight eight five five five two four eight five now", "phone", "plus one nine eight eight five five five two four eight five"),
+        ("card four one one one one one one one one one one one one one one one ok", "card", "four one one one one one one one one one one one one one one one"),
+        ("host one nine two dot one six eight dot zero dot seven up", "ip", "one nine two dot one six eight dot zero dot seven"),
+        ("card 4111​1111​1111​1111 ok", "card", "4111​1111​1111​1111"),
+    ],
+)
+def test_disguises(text, kind, part):
+    base, more = pii.all_spans(text)
+    assert (kind, text.index(part), text.index(part) + len(part)) in more
+    assert part not in pii.masked(text)
+
+
+@pytest.mark.parametrize("text", ["look at example.com for more", "the dot on the i at noon", "one two three go", "Привет, мир. Ответ: сорок два.", "at dot at dot", "a point of view"])
+def test_no_disguise(text):
+    assert pii.disguised_spans(text) == []
+
+
+# -- 9, packing
+
+
+def check_packing(found, table, capacity=2048):
+    enc = tokens.Encoder(tokens.default_path()).tokenizer
+    want = Counter()
+    total = 0
+    for d, t in table:
+        ids = np.array([*enc.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        first = len(ids) % capacity or capacity
+        cuts = [0, *range(first, len(ids) + 1, capacity)]
+        total += len(ids)
+        for piece, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            want[d, piece, a, b - a, zlib.crc32(ids[a:b].tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found) == want
+    bins = defaultdict(list)
+    for r in found:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for placed in bins.values():
+        at = 0
+        for offset, length in sorted(placed):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(bins), -(-total // capacity)
+
+
+def test_packing(docs, rows, odd, empty):
+    bins, least = check_packing(packing.packed(docs).collect(), [(r.doc_id, r.text) for r in rows])
+    assert bins <= least + 1
+    bins, least = check_packing(packing.packed(docs, group=20).collect(), [(r.doc_id, r.text) for r in rows])
+    assert bins <= 1.05 * least + 2
+    check_packing(packing.packed(odd).collect(), [r[:2] for r in ODD])
+    assert packing.packed(empty).count() == 0
+
+
+def test_bounds_hold_and_meet():
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        sizes = rng.integers(1, 101, rng.integers(1, 80))
+        bins, offsets, room = packing.best_fit_decreasing(sizes, 100)
+        assert packing.lower_bound(sizes, 100) <= len(room)
+        assert ((100 - room) == np.bincount(bins, weights=sizes)).all()
+    assert packing.lower_bound(np.full(9, 51), 100) == 9
+    assert packing.lower_bound(np.full(9, 34), 100) == 5
+
+
+# -- 10, language
+
+
+def test_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found = language.identified(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert np.mean([r.lang == r.lang_pred for r in found]) > 0.98
+    assert np.mean([r.rejected for r in found]) < 0.001
+
+
+def test_language_of_odd_rows(odd, empty):
+    found = {r.doc_id: r for r in language.identified(odd).collect() if r.doc_id is not None}
+    assert [found[d].lang_pred for d in (5, 1, 12)] == ["und"] * 3
+    assert all(0 <= r.score <= 1 for r in found.values())
+    assert language.identified(empty).count() == 0
+    left = language.keep_known_languages(odd)
+    assert left.columns == odd.columns and {5, 1, 12}.isdisjoint(r.doc_id for r in left.collect())
+    assert language.keep_known_languages(empty).count() == 0
