@@ -21,7 +21,7 @@ from tectra.llm.toxicity import in_fold
 DIM, CENTROIDS, SAMPLE = 1 << 13, 3, 800
 #: A text is rejected where its cosine is below REJECT times the smallest of its language's sample.
 #: Texts with fewer distinct n-grams than EVIDENCE are too short for a distance to tell.
-REJECT, EVIDENCE = 0.5, 100
+REJECT, EVIDENCE = 0.3, 100
 UNKNOWN = "und"
 
 
