@@ -1,4 +1,5 @@
-"""Registered queries."""
+"""Registered queries and oracles outside the corpus operators."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tectra.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
