@@ -4,10 +4,11 @@ Documents with equal shingle sets are one class; classes are what follows.  Each
 is an order of the classes by its own sequence of min-hashes; classes whose sequences share a prefix
 are a region of that order.  Regions of at most REGION classes end at the shallowest depth; denser
 ones are cut by longer prefixes.  Within a region, estimates from whole signatures give a maximum
-spanning forest of likely links, a linear number of candidates.  They are confirmed on full shingle
-sets.  A second pass tests every likely pair of a region that is still in two components and was not
-tested, so that no likely link is lost to the first pass.  Components come from alternating large
-and small stars.
+spanning forest of likely links, a linear number of candidates.  What they connect is a block: every
+likely pair of every region lies within one.  Blocks are linked exactly, on full shingle sets: each
+text moves to its block once, an inverted index of the block gives all intersections, and only one
+link a document leaves.  A block of more than REGION classes is linked region by region instead.
+Components come from alternating large and small stars.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ TREES, DEPTHS = 12, (3, 5, 7, 9)
 DEPTH = DEPTHS[-1]
 HASHES = TREES * DEPTH
 #: Classes of a region that is not cut any further.
-REGION = 4096
+REGION = 2048
 #: A pair is likely if its estimate is below the similarity by no more than this (over 4.5 standard
 #: deviations of the estimate at 0.8 and above).
 SLACK = 0.18
@@ -147,75 +148,88 @@ def spanning_links(reps: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, simila
     return links
 
 
-def remaining_links(reps: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, components: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """All likely pairs of a region whose components differ."""
-    links = []
-    for i in range(len(reps) - 1):
-        near = _alike(sigs[i:], sizes[i:], 0, similarity)
-        for j in np.flatnonzero((near >= similarity - SLACK) & (components[i:] != components[i])).tolist():
-            links.append((int(reps[i]), int(reps[i + j])))
-    return links
+def candidates(members: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: likely links that span each region of members (key, rep)."""
 
+    def links(held):
+        sigs = np.frombuffer(b"".join(held[2]), "<u2").reshape(-1, HASHES)
+        found = spanning_links(np.array(held[0]), np.array(held[1]), sigs, similarity)
+        return [(min(x), max(x)) for x in found]
 
-def candidates(members: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b, of the regions' members: key, rep and, in the second pass, component."""
-    second = "component" in members.columns
+    rows = members.join(classes, "rep").select("key", "rep", "n_shingles", "sig")
+    return _by_group(rows, "rep", links, "a long, b long").distinct()
 
-    def links(key_rows):
-        reps, sizes = np.array(key_rows[0]), np.array(key_rows[1])
-        sigs = np.frombuffer(b"".join(key_rows[2]), "<u2").reshape(-1, HASHES)
-        return remaining_links(reps, sizes, sigs, np.array(key_rows[3]), similarity) if second else spanning_links(reps, sizes, sigs, similarity)
 
-    def run(batches):
-        held, last = ([], [], [], []), None
+def _by_group(rows: DataFrame, order: str, work, schema: str) -> DataFrame:
+    """work(columns) for every group of equal first columns; gives pairs of longs.  Groups are streamed
+    from sorted partitions: small ones cost no call of their own, each is bounded by REGION."""
+    key, names = rows.columns[0], [x.split()[0] for x in schema.split(", ")]
+    width = len(rows.columns) - 1
 
-        def emit(out):
-            if len(held[0]) > 1:
-                out += [(min(x), max(x)) for x in links(held)]
-            for h in held:
-                h.clear()
+    def run(batches):
+        held: list[list] = [[] for _ in range(width)]
+        last = None
 
         def frame(out):
-            a, b = zip(*out, strict=True) if out else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            x, y = zip(*out, strict=True) if out else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names)
+
+        def end():
+            return work(held) if len(held[0]) > 1 else []
 
         for batch in batches:
-            out: list = []
-            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            for key, *rest in zip(*columns, strict=True):
-                if key != last:
-                    emit(out)
-                    last = key
-                for h, x in zip(held, rest, strict=False):
+            out = []
+            for k, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != last:
+                    out += end()
+                    held = [[] for _ in range(width)]
+                    last = k
+                for h, x in zip(held, rest, strict=True):
                     h.append(x)
             yield frame(out)
-        out = []
-        emit(out)
-        yield frame(out)
-
-    rows = members.join(classes, "rep").select("key", "rep", "n_shingles", "sig", *["component"] * second)
-    rows = rows.repartition("key").sortWithinPartitions("key", "rep")
-    return rows.mapInArrow(run, "a long, b long").distinct()
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs with their verdict: linked where 100 * intersection >= percent * union of full sets."""
-
-    def run(batches):
-        last: tuple = (None, None)
-        for batch in batches:
-            verdict = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if last[0] != y:
-                    last = (y, shingles(y, width))
-                p, q = shingles(x, width), last[1]
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                verdict.append(bool(both) and 100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(verdict, pa.bool_())], ["a", "b", "linked"])
-
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean")
+        yield frame(end())
+
+    return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
+
+
+def linked_blocks(blocks: DataFrame, width: int, percent: int) -> DataFrame:
+    """blocks: block, rep, text.  Gives (a, b): each document with the smallest one of its component
+    within the block, by exact intersections."""
+
+    def links(held):
+        reps = np.array(held[0])
+        root = block_components([shingles(t, width) for t in held[1]], percent)
+        return [(int(reps[r]), int(reps[i])) for i, r in enumerate(root.tolist()) if r != i]
+
+    return _by_group(blocks, "rep", links, "a long, b long")
+
+
+def block_components(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set the first one of its component; links are 100 * intersection >= percent * union."""
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    component = np.arange(n)
+    if n == 2:
+        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        component[1] = 0 if both and 100 * both >= percent * (sizes.sum() - both) else 1
+        return component
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    postings = np.repeat(np.arange(n), sizes)[np.argsort(place, kind="stable")]
+    starts, cuts = np.cumsum(times) - times, np.cumsum(sizes)
+    for i in range(n - 1):
+        if (component[i:] == component[i]).all():
+            continue
+        own = place[cuts[i] - sizes[i] : cuts[i]]
+        own = own[times[own] > 1]
+        reach = np.cumsum(times[own])
+        if not len(own):
+            continue
+        at = np.repeat(starts[own] - reach + times[own], times[own]) + np.arange(reach[-1])
+        both = np.bincount(postings[at], minlength=n)
+        linked = (both > 0) & (100 * both >= percent * (sizes + sizes[i] - both))
+        joined = np.unique(component[linked])
+        if len(joined) > 1:
+            component[np.isin(component, joined)] = joined[0]
+    return component
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -255,22 +269,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = materialize(reps, "classes")
     classes = reps.select("rep", "n_shingles", "sig")
     members = materialize(regions(classes, region), "members")
-    first = materialize(candidates(members, classes, similarity), "candidates")
-    texts = materialize(only(rows, "doc_id", first.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "texts")
-    tested = materialize(confirmed(first, texts, width, percent), "tested")
-    links = tested.filter("linked").select("a", "b")
-    labels = materialize(components(links), "labels")
-    # Second pass: regions that still hold several components.
-    known = members.join(labels, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    open_ = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    more = candidates(known.join(open_, "key"), classes, similarity)
-    more = materialize(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
-    if not more.isEmpty():
-        ids = more.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        again = materialize(confirmed(more, only(rows, "doc_id", ids), width, percent), "tested").filter("linked").select("a", "b")
-        if not again.isEmpty():
-            stars = labels.filter("rep != component").select(F.col("rep").alias("a"), F.col("component").alias("b"))
-            labels = materialize(components(stars.unionByName(again)), "labels")
+    likely = materialize(candidates(members, classes, similarity), "likely")
+    blocks = materialize(components(likely).select("rep", F.col("component").alias("block")), "blocks")
+    sizes = materialize(blocks.groupBy("block").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    parts = blocks.join(sizes.filter(F.col("size") <= region), "block").select("block", "rep")
+    large = sizes.filter(F.col("size") > region)
+    split = not large.isEmpty()
+    if split:
+        inside = blocks.join(large, "block").select("rep")
+        parts = parts.unionByName(members.join(inside, "rep").select(F.xxhash64("key", F.lit(1)).alias("block"), "rep"))
+    texts = only(rows, "doc_id", blocks.select("rep")).select(F.col("doc_id").alias("rep"), "text")
+    links = materialize(linked_blocks(parts.join(texts, "rep").select("block", "rep", "text"), width, percent), "links")
+    # Blocks that were not split share no document: their links are their components already.
+    labels = components(links) if split else links.select(F.col("b").alias("rep"), F.col("a").alias("component"))
     named = reps.select("digest", "rep").join(labels, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = sketched.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
