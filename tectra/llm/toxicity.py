@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tectra.llm.bloom import may_hold
 from tectra.llm.common import materialize, prepare
 
 BITS = 20
@@ -113,7 +114,8 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     most = options.get("max_train", MAX_TRAIN)
     if n > most:  # before the join, so that only the sample's texts move
         known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int((1 << 30) * most / n))
-    sample = materialize(rows.join(known, "doc_id"), "labelled")
+    known = materialize(known, "labels")
+    sample = materialize(rows.filter(may_hold(known.select("doc_id"), F.col("doc_id"))).join(known, "doc_id"), "labelled")
     model = train(sample, **options)
     dense = np.zeros((1 << BITS) + 1, np.float32)
     dense[model["place"].to_numpy(np.int64)] = model["weight"]
