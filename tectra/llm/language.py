@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tectra.llm.bloom import without
+from tectra.llm.bloom import may_hold, without
 from tectra.llm.common import materialize, prepare
 from tectra.llm.toxicity import in_fold
 
@@ -72,7 +72,10 @@ def train(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS)
     spark = labelled.sparkSession
     per = labelled.groupBy("lang").count()
     dealt = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30))
-    rows = labelled.join(per, "lang").filter(dealt * F.col("count") < F.lit(float(sample * (1 << 30)))).select("lang", "doc_id", "text")
+    # Ids first: a common language's texts never meet, only those of the sample move.
+    picked = labelled.select("doc_id", "lang").join(per, "lang").filter(dealt * F.col("count") < F.lit(float(sample * (1 << 30))))
+    picked = materialize(picked.select("doc_id").distinct(), "picked")
+    rows = labelled.filter(may_hold(picked, F.col("doc_id"))).join(picked, "doc_id", "left_semi").select("lang", "doc_id", "text")
     rows = materialize(rows, "languages")
 
     def frequency(batches):
