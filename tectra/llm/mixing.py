@@ -140,7 +140,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = mixed(docs, id_col, text_col, source_col, **options).groupBy(F.col("doc_id").alias(key)).agg(F.sort_array(F.collect_list("copies")).alias(copies))
     plan = materialize(plan, "copies")
     single = plan.filter(F.size(copies) == 1).select(key, F.element_at(copies, 1).alias(n))
-    once = docs.join(single, docs[id_col].cast("long").eqNullSafe(F.col(key)))
+    # The plan has a row per document, so it is never broadcast: one plan at every size.
+    once = docs.join(single.hint("merge"), docs[id_col].cast("long").eqNullSafe(F.col(key)))
     # Rows with the same id take the decided copies in turn.
     again = docs.join(plan.filter(F.size(copies) > 1), docs[id_col].cast("long").eqNullSafe(F.col(key)))
     turn = F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(text_col, source_col)))
