@@ -45,20 +45,97 @@ def sobel(px: DataFrame) -> DataFrame:
     return n.select("image_id", "y", "x", "v", gx.alias("gx"), gy.alias("gy"))
 
 
-def weighted(px: DataFrame, weights: list[float], window: WindowSpec, value: str = "v") -> Column:
-    """A one-dimensional pass of odd length, borders reflected without the edge pixel."""
-    half = len(weights) // 2
-    taps = [F.lit(weights[half]) * F.col(value)]
-    for k in range(1, half + 1):
-        before, after = F.lag(value, k).over(window), F.lead(value, k).over(window)
-        taps.append(F.lit(weights[half - k]) * F.coalesce(before, after, F.col(value)))
-        taps.append(F.lit(weights[half + k]) * F.coalesce(after, before, F.col(value)))
-    return reduce(Column.__add__, taps)
+def _shifted(value: str, by: int, window: WindowSpec) -> Column:
+    return F.lead(value, by).over(window) if by > 0 else F.lag(value, -by).over(window)
+
 
+def weighted(px: DataFrame, weights: list[float], window: WindowSpec, value: str, out: str, border: str) -> DataFrame:
+    """px with out, a one-dimensional pass of odd length over value.
 
-def smooth(px: DataFrame, weights: list[float]) -> DataFrame:
-    px = px.withColumn("h", weighted(px, weights, along_row()))
-    return px.withColumn("s", weighted(px, weights, along_col(), "h")).drop("h")
+    Beyond the ends of a line, reflect mirrors it without the edge pixel, replicate repeats the edge
+    pixel.  A line too short to be mirrored gives the pixel's own value there."""
+    half = len(weights) // 2
+    whole = window.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    held = {f"_t{k}": _shifted(value, k, window) for k in range(-half, half + 1)}
+    if border == "reflect":
+        held |= {"_before": F.row_number().over(window) - 1, "_after": F.count(F.lit(1)).over(whole) - F.row_number().over(window)}
+    else:
+        held |= {"_first": F.first(value).over(whole), "_last": F.last(value).over(whole)}
+    taps = []
+    for k in range(-half, half + 1):
+        tap = F.col(f"_t{k}")
+        if k and border == "reflect":
+            side, sign = ("_before", 1) if k < 0 else ("_after", -1)
+            mirrored = [F.when(F.col(side) == p, F.col(f"_t{sign * (abs(k) - 2 * p)}")) for p in range(abs(k))]
+            tap = F.coalesce(tap, *mirrored, F.col(value))
+        elif k:
+            tap = F.coalesce(tap, F.col("_first" if k < 0 else "_last"))
+        taps.append(F.lit(weights[k + half]) * tap)
+    return px.withColumns(held).withColumn(out, reduce(Column.__add__, taps)).drop(*held)
+
+
+def separable(px: DataFrame, across: list[float], down: list[float], out: str = "s", border: str = "reflect") -> DataFrame:
+    """px with out: weights across along rows, then down along columns."""
+    return weighted(weighted(px, across, along_row(), "v", "_h", border), down, along_col(), "_h", out, border).drop("_h")
+
+
+def resize(px: DataFrame, height: int, width: int) -> DataFrame:
+    """(image_id, y, x, v): bilinear, pixel centres at halves, edges repeated, rounded half up.
+
+    v is whole; weights are whole numbers over 4 * height * width, so the result is exact.  Each pixel
+    of the new grid asks for its four neighbours; the only shuffles are by image and pixel."""
+    size = px.groupBy("image_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    grid = size.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+
+    def taps(i: str, old: str, new: int) -> Column:
+        at = F.greatest(F.lit(0), F.least((2 * F.col(i) + 1) * F.col(old) - new, 2 * new * (F.col(old) - 1))).cast("int")
+        low, part = F.floor(at / (2 * new)).cast("int"), at % (2 * new)
+        pair = [F.struct(low.alias("at"), (2 * new - part).alias("weight")), F.struct(F.least(low + 1, F.col(old) - 1).alias("at"), part.alias("weight"))]
+        return F.filter(F.array(*pair), lambda t: t["weight"] > 0)
+
+    asked = grid.withColumn("ty", F.explode(taps("y", "h", height))).withColumn("tx", F.explode(taps("x", "w", width)))
+    asked = asked.select("image_id", F.col("y").alias("to_y"), F.col("x").alias("to_x"), F.col("ty.at").alias("y"), F.col("tx.at").alias("x"), (F.col("ty.weight") * F.col("tx.weight")).cast("long").alias("weight"))
+    total = F.sum(F.col("weight") * F.col("v"))
+    whole = 4 * height * width
+    value = F.floor((2 * total + whole) / (2 * whole)).cast("int")
+    return asked.join(px, ["image_id", "y", "x"]).groupBy("image_id", "to_y", "to_x").agg(value.alias("v")).select("image_id", F.col("to_y").alias("y"), F.col("to_x").alias("x"), "v")
+
+
+def angle_split(vertices: DataFrame, gap: float, angle: float) -> DataFrame:
+    """(edge_id, i, r, c, part): lines cut where a step is longer than gap, or where the angle at the
+    last vertex of a part of two or more is below angle degrees (or undefined, as points repeat).
+
+    A cut for the angle leaves a part of one vertex, so the next vertex cannot be cut for its angle:
+    in a run of sharp angles every other one cuts, counted from the run's start."""
+    w = W.partitionBy("edge_id").orderBy("i")
+    v = vertices.select("edge_id", "i", "r", "c", *(F.lag(x, k).over(w).alias(f"{x}{k}") for x in "rc" for k in (1, 2)))
+    dr, dc = F.col("r") - F.col("r1"), F.col("c") - F.col("c1")
+    br, bc = F.col("r2") - F.col("r1"), F.col("c2") - F.col("c1")
+    size = F.sqrt((dr * dr + dc * dc).cast("double")) * F.sqrt((br * br + bc * bc).cast("double"))
+    turn = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (dr * br + dc * bc) / size))))
+    sharp = F.col("r2").isNotNull() & ((size == 0) | (turn < angle))
+    far = F.col("r1").isNull() | (dr * dr + dc * dc > gap * gap)
+    v = v.select("edge_id", "i", "r", "c", F.when(far, 1).when(~sharp, 0).alias("fixed"))
+    run = w.rowsBetween(W.unboundedPreceding, 0)
+    base, since = F.last("fixed", True).over(run), F.col("i") - F.last(F.when(F.col("fixed").isNotNull(), F.col("i")), True).over(run)
+    v = v.withColumn("cut", F.when(since % 2 == 0, base).otherwise(1 - base))
+    return v.select("edge_id", "i", "r", "c", (F.sum("cut").over(run) - 1).alias("part"))
+
+
+def fold_strokes(steps: DataFrame) -> DataFrame:
+    """steps (owner, seq, kind, x, y) -> (owner, stroke, points, path): a press opens or extends a line, a
+    release extends an open one, a commit ends it.  Lines without a commit are not finished, empty
+    ones do not count."""
+    w = W.partitionBy("owner").orderBy("seq")
+    before = w.rowsBetween(W.unboundedPreceding, -1)
+    s = steps.withColumn("stroke", F.coalesce(F.sum((F.col("kind") == "commit").cast("long")).over(before), F.lit(0).cast("long")))
+    line = W.partitionBy("owner", "stroke")
+    opened = F.max((F.col("kind") == "press").cast("int")).over(line.orderBy("seq"))
+    ended = F.max((F.col("kind") == "commit").cast("int")).over(line)
+    s = s.withColumns({"opened": opened, "ended": ended}).filter("opened = 1 and ended = 1 and kind in ('press', 'release')")
+    points = F.sort_array(F.collect_list(F.struct("seq", "x", "y")))
+    text = F.array_join(F.transform(points, lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))), ",")
+    return s.groupBy("owner", "stroke").agg(F.count(F.lit(1)).alias("points"), text.alias("path"))
 
 
 def histogram_otsu(px: DataFrame) -> DataFrame:

@@ -234,27 +234,63 @@ _G11 = [math.exp(-(k * k) / 8.0) for k in range(-5, 6)]
 _G11 = [w / sum(_G11) for w in _G11]
 
 
-def _taps(weights, col, window):
-    half = len(weights) // 2
-    out = [f"{weights[half]!r}::DOUBLE * {col}"]
-    for k in range(1, half + 1):
-        b, a = f"lag({col}, {k}) OVER {window}", f"lead({col}, {k}) OVER {window}"
-        out += [f"{weights[half - k]!r}::DOUBLE * coalesce({b}, {a}, {col})", f"{weights[half + k]!r}::DOUBLE * coalesce({a}, {b}, {col})"]
-    return " + ".join(out)
+def _place(at, last, border):
+    if border == "replicate":
+        return f"greatest(0, least({at}, {last}))"
+    return f"CASE WHEN {at} < 0 THEN -({at}) WHEN {at} > {last} THEN 2 * {last} - ({at}) ELSE {at} END"
 
 
-def _smooth_sql(weights):
-    return f"sh AS (SELECT *, {_taps(weights, 'v', 'r')} AS h FROM u8 WINDOW r AS (PARTITION BY image_id, y ORDER BY x)), sm AS (SELECT *, {_taps(weights, 'h', 'q')} AS s FROM sh WINDOW q AS (PARTITION BY image_id, x ORDER BY y))"
+def _pass_sql(name, source, value, out, axis, weights, border):
+    """A pass that looks its neighbours up by their place."""
+    other = "y" if axis == "x" else "x"
+    taps = ", ".join(f"({k - len(weights) // 2}, {w!r}::DOUBLE)" for k, w in enumerate(weights))
+    return f"""{name} AS (SELECT p.image_id, p.y, p.x, any_value(p.v) AS v, sum(t.w * q.{value}) AS {out}
+        FROM {source} p JOIN (SELECT image_id, max({axis}) AS z FROM {source} GROUP BY 1) e USING (image_id) CROSS JOIN (VALUES {taps}) t(k, w)
+        JOIN {source} q ON q.image_id = p.image_id AND q.{other} = p.{other} AND q.{axis} = {_place(f"p.{axis} + t.k", "e.z", border)} GROUP BY 1, 2, 3)"""
 
 
-@plan(f"WITH {sql.U8}, {_smooth_sql(_G7)} SELECT image_id, y, x, round(s, 4) AS v FROM sm")
+def _separable_sql(name, across, down, border="reflect"):
+    return _pass_sql(f"{name}_h", "u8", "v", "h", "x", across, border) + ", " + _pass_sql(name, f"{name}_h", "h", "s", "y", down, border)
+
+
+@plan(f"WITH {sql.U8}, {_separable_sql('sm', _G7, _G7)} SELECT image_id, y, x, round(s, 4) AS v FROM sm")
 def gaussian_blur7(spark, sf):
-    return ops.smooth(_u8(spark, sf), _G7).select(*KEY, F.round("s", 4).alias("v"))
+    return ops.separable(_u8(spark, sf), _G7, _G7).select(*KEY, F.round("s", 4).alias("v"))
 
 
-@plan(f"WITH {sql.U8}, {_smooth_sql(_G11)} SELECT image_id, y, x, CASE WHEN v > round(s, 6) - 2 THEN 255 ELSE 0 END AS v FROM sm")
+@plan(f"WITH {sql.U8}, {_separable_sql('sm', _G11, _G11, 'replicate')} SELECT image_id, y, x, CASE WHEN v > round(s, 6) - 2 THEN 255 ELSE 0 END AS v FROM sm")
 def adaptive_threshold(spark, sf):
-    return ops.smooth(_u8(spark, sf), _G11).select(*KEY, F.when(F.col("v") > F.round("s", 6) - 2, 255).otherwise(0).alias("v"))
+    return ops.separable(_u8(spark, sf), _G11, _G11, border="replicate").select(*KEY, F.when(F.col("v") > F.round("s", 6) - 2, 255).otherwise(0).alias("v"))
+
+
+_SMOOTH5, _SLOPE5 = [1.0, 4.0, 6.0, 4.0, 1.0], [-1.0, -2.0, 0.0, 2.0, 1.0]
+
+
+@plan(f"WITH {sql.U8}, {_separable_sql('a', _SLOPE5, _SMOOTH5)}, {_separable_sql('b', _SMOOTH5, _SLOPE5)} SELECT image_id, y, x, a.s AS gx, b.s AS gy FROM a JOIN b USING (image_id, y, x)")
+def sobel_k5(spark, sf):
+    both = ops.separable(ops.separable(_u8(spark, sf), _SLOPE5, _SMOOTH5, "gx"), _SMOOTH5, _SLOPE5, "gy")
+    return both.select(*KEY, "gx", "gy")
+
+
+def _resize_sql(height, width):
+    def axis(name, size, new):
+        return f"""{name} AS (SELECT image_id, i, u // {2 * new} AS a, least(u // {2 * new} + 1, n - 1) AS b, {2 * new} - u % {2 * new} AS wa, u % {2 * new} AS wb
+            FROM (SELECT image_id, t.i, n, greatest(0, least((2 * t.i + 1) * n - {new}, {2 * new} * (n - 1))) AS u FROM (SELECT image_id, max({size}) + 1 AS n FROM u8 GROUP BY 1), range({new}) t(i)))"""
+
+    corner = lambda p, q: f"JOIN u8 {p}{q} ON {p}{q}.image_id = r.image_id AND {p}{q}.y = r.{p} AND {p}{q}.x = k.{q}"
+    total = " + ".join(f"r.w{p} * k.w{q} * {p}{q}.v" for p in "ab" for q in "ab")
+    return f"""{axis("r", "y", height)}, {axis("k", "x", width)}, resized AS (SELECT r.image_id, CAST(r.i AS INTEGER) AS y, CAST(k.i AS INTEGER) AS x, CAST((2 * ({total}) + {4 * height * width}) // {8 * height * width} AS INTEGER) AS v
+        FROM r JOIN k USING (image_id) {corner("a", "a")} {corner("a", "b")} {corner("b", "a")} {corner("b", "b")})"""
+
+
+@plan(f"WITH {sql.U8}, {_resize_sql(48, 80)} SELECT image_id, y, x, v FROM resized")
+def resize_bilinear(spark, sf):
+    return ops.resize(_u8(spark, sf), 48, 80)
+
+
+@plan(f"WITH {sql.U8}, {_resize_sql(32, 32)} SELECT image_id, y, x, CASE WHEN v > 128 THEN 1 ELSE 0 END AS t FROM resized")
+def truth_mask(spark, sf):
+    return ops.resize(_u8(spark, sf), 32, 32).select(*KEY, (F.col("v") > 128).cast("int").alias("t"))
 
 
 @plan(f"WITH {sql.canny(50, 150)} SELECT image_id, y, x, flag FROM flags")
@@ -402,6 +438,36 @@ def gap_split(spark, sf):
     return v.groupBy("edge_id", "part").agg(F.min("i").alias("first"), F.max("i").alias("last"))
 
 
+_ANGLE = """degrees(acos(greatest(-1, least(1, CAST((p.r - w.r1) * (w.r2 - w.r1) + (p.c - w.c1) * (w.c2 - w.c1) AS DOUBLE)
+    / (sqrt(CAST((p.r - w.r1) ** 2 + (p.c - w.c1) ** 2 AS DOUBLE)) * sqrt(CAST((w.r2 - w.r1) ** 2 + (w.c2 - w.c1) ** 2 AS DOUBLE)))))))"""
+_GOES_ON = f"""((p.r - w.r1) ** 2 + (p.c - w.c1) ** 2 <= 4900 AND (w.n < 2 OR CASE WHEN (p.r = w.r1 AND p.c = w.c1) OR (w.r2 = w.r1 AND w.c2 = w.c1) THEN false ELSE {_ANGLE} >= 20 END))"""
+
+
+@plan(f"""WITH RECURSIVE {sql.EDGES}, w AS (SELECT edge_id, i, r AS r1, c AS c1, CAST(0 AS INTEGER) AS r2, CAST(0 AS INTEGER) AS c2, 1 AS n, 0 AS part FROM pt WHERE i = 0
+    UNION ALL SELECT p.edge_id, p.i, p.r, p.c, w.r1, w.c1, CASE WHEN {_GOES_ON} THEN w.n + 1 ELSE 1 END, CASE WHEN {_GOES_ON} THEN w.part ELSE w.part + 1 END FROM w JOIN pt p ON p.edge_id = w.edge_id AND p.i = w.i + 1)
+    SELECT edge_id, i, r1 AS r, c1 AS c, CAST(part AS BIGINT) AS part FROM w""")
+def angle_split(spark, sf):
+    return ops.angle_split(src.vertices(src.event_edges(spark, sf)), 70, 20)
+
+
+@plan("""WITH s AS (SELECT user_id AS owner, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, CASE event_type WHEN 'click' THEN 'press' WHEN 'purchase' THEN 'commit' ELSE 'release' END AS kind, CAST(floor(value) AS INTEGER) AS x, CAST(hour(ts) AS INTEGER) AS y FROM events),
+    n AS (SELECT *, (SELECT count(*) FROM s b WHERE b.owner = s.owner AND b.seq < s.seq AND b.kind = 'commit') AS stroke FROM s),
+    z AS (SELECT owner, stroke, min(seq) FILTER (kind = 'press') AS opened, count(*) FILTER (kind = 'commit') AS ended FROM n GROUP BY 1, 2)
+    SELECT owner, stroke, count(*) AS points, string_agg(x || ' ' || y, ',' ORDER BY seq) AS path FROM n JOIN z USING (owner, stroke) WHERE ended = 1 AND seq >= opened AND kind <> 'commit' GROUP BY 1, 2""")
+def stroke_fold(spark, sf):
+    e = src.table(spark, sf, "events")
+    kind = F.when(F.col("event_type") == "click", "press").when(F.col("event_type") == "purchase", "commit").otherwise("release")
+    seq = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    return ops.fold_strokes(e.select(F.col("user_id").alias("owner"), seq.alias("seq"), kind.alias("kind"), F.floor("value").cast("int").alias("x"), F.hour("ts").alias("y")))
+
+
+@plan(f"""WITH {sql.EDGES} SELECT edge_id, '{{"type":"Feature","properties":{{"edge_id":' || edge_id || '}},"geometry":{{"type":"LineString","coordinates":[' || string_agg('[' || c || ',' || r || ']', ',' ORDER BY i) || ']}}}}' AS feature FROM pt GROUP BY 1""")
+def geojson_features(spark, sf):
+    shape = F.struct(F.lit("LineString").alias("type"), F.transform("pts", lambda p: F.array(p["c"], p["r"])).alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct("edge_id").alias("properties"), shape.alias("geometry"))
+    return src.event_edges(spark, sf).select("edge_id", F.to_json(feature).alias("feature"))
+
+
 @plan(f"""WITH {_STEPS}, a AS (SELECT edge_id, i, CAST((r - pr) * (nr - r) + (c - pc) * (nc - c) AS DOUBLE) AS dot, sqrt(CAST((r - pr) * (r - pr) + (c - pc) * (c - pc) AS DOUBLE)) * sqrt(CAST((nr - r) * (nr - r) + (nc - c) * (nc - c) AS DOUBLE)) AS len FROM st WHERE pr IS NOT NULL AND nr IS NOT NULL)
     SELECT edge_id, i, round(CASE WHEN len > 0 THEN degrees(acos(greatest(-1, least(1, dot / len)))) END, 3) AS angle FROM a""")
 def turn_angles(spark, sf):
