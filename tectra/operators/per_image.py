@@ -52,13 +52,13 @@ def skeleton(b: np.ndarray) -> np.ndarray:
             return b.astype(bool)
 
 
-def components(b: np.ndarray) -> np.ndarray:
-    """8-connected components labelled by their first pixel in row-major order, -1 outside."""
+def components(b: np.ndarray, around=AROUND) -> np.ndarray:
+    """Components, 8-connected by default, labelled by their first pixel in row-major order, -1 outside."""
     h, w = b.shape
     label = np.where(b, np.arange(h * w).reshape(h, w), h * w)
     while True:
         p = np.pad(label, 1, constant_values=h * w)
-        low = np.minimum.reduce([p[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] for dy, dx in [(0, 0), *AROUND]])
+        low = np.minimum.reduce([p[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] for dy, dx in [(0, 0), *around]])
         low = np.where(b, low, h * w)
         hop = np.append(low.ravel(), h * w)[low]
         if (hop == label).all():
@@ -231,6 +231,50 @@ def contours(v: np.ndarray, level: float) -> list[list[tuple[float, float]]]:
     return lines
 
 
+def area(ring) -> float:
+    """Signed area of a closed ring (first point repeated)."""
+    x, y = np.asarray(ring, float).T
+    return float((x[:-1] * y[1:] - x[1:] * y[:-1]).sum() / 2)
+
+
+def is_simple(ring) -> bool:
+    """No two sides of a closed ring meet but neighbours at their common point."""
+    p = np.asarray(ring, float)
+    a, b, n = p[:-1], p[1:], len(p) - 1
+
+    def side(u, v, w):
+        return np.sign((v[..., 0] - u[..., 0]) * (w[..., 1] - u[..., 1]) - (v[..., 1] - u[..., 1]) * (w[..., 0] - u[..., 0]))
+
+    for i in range(n):
+        j = np.array([k for k in range(i + 2, n) if (k + 1) % n != i], int)
+        if len(j):
+            crossed = (side(a[i], b[i], a[j]) * side(a[i], b[i], b[j]) <= 0) & (side(a[j], b[j], a[i]) * side(a[j], b[j], b[i]) <= 0)
+            apart = (np.maximum(a[j], b[j]) < np.minimum(a[i], b[i])).any(axis=1) | (np.minimum(a[j], b[j]) > np.maximum(a[i], b[i])).any(axis=1)
+            if (crossed & ~apart).any():
+                return False
+    return True
+
+
+def outer_polygons(b: np.ndarray, share: float = 0.01) -> list[list[tuple[float, float]]]:
+    """Closed outer borders (x, y) of the components that no other one surrounds, simplified within a
+    share of their length; those with under three corners or with crossing sides are left out."""
+    cross = [(-1, 0), (0, -1), (0, 1), (1, 0)]
+    p = np.pad(b.astype(bool), 1)
+    outside = components(~p, cross) == 0
+    reached = np.pad(outside, 1)
+    touched = np.logical_or.reduce([reached[1 + dy : 1 + dy + p.shape[0], 1 + dx : 1 + dx + p.shape[1]] for dy, dx in cross])
+    label, out = components(p), []
+    for one in np.unique(label[p & touched]).tolist():
+        ys, xs = np.nonzero(label == one)
+        y0, x0 = ys.min() - 1, xs.min() - 1
+        part = label[y0 : ys.max() + 2, x0 : xs.max() + 2] == one
+        ring = max(contours(part.astype(float), 0.5), key=lambda line: abs(area(line)))
+        ring = simplify([(x + x0 - 1, y + y0 - 1) for x, y in ring], share * length(ring))
+        if len(ring) > 3 and is_simple(ring):
+            out.append([(float(x), float(y)) for x, y in ring])
+    return out
+
+
 def shortest(cost: np.ndarray, start, goal, cap: int = 1000) -> list[tuple[int, int]] | None:
     """A* over eight neighbours; a step costs what it enters, the guess is the straight distance; gives
     up after cap expansions."""

@@ -171,6 +171,47 @@ def crossings() -> Column:
     return reduce(Column.__add__, [F.abs(a - b) for a, b in zip(ring, ring[1:] + ring[:1], strict=True)])
 
 
+#: Weights of the 3x3 neighbourhood in a table's index, column by column.
+TABLE = {"nw": 256, "w": 128, "sw": 64, "n": 32, "c": 16, "s": 8, "ne": 4, "e": 2, "se": 1}
+
+
+def table_index(px: DataFrame) -> DataFrame:
+    """px (v 0 or 1) with idx, the place of each pixel's neighbourhood in a table of 512; 0 outside."""
+    n = neighbours(px, "zero")
+    return n.withColumn("idx", sum((F.col(k) * w for k, w in TABLE.items()), F.lit(0)).cast("int")).drop(*NINE)
+
+
+def table_pass(px: DataFrame, table: list[int]) -> DataFrame:
+    """v of every pixel replaced by the table's entry for its neighbourhood."""
+    if len(table) != 512:
+        raise ValueError("a table of a 3x3 neighbourhood has 512 entries")
+    return table_index(px).withColumn("v", F.element_at(F.array(*map(F.lit, table)), F.col("idx") + 1)).drop("idx")
+
+
+def rule_table(rule) -> list[int]:
+    """rule({"nw": 0 or 1, ...}) for each of the 512 neighbourhoods."""
+    return [int(rule({k: int(i & w > 0) for k, w in TABLE.items()})) for i in range(512)]
+
+
+def is_border(p: dict) -> bool:
+    """A pixel whose removal alone neither ends a line nor breaks one."""
+    around = [p[k] for k in ("n", "ne", "e", "se", "s", "sw", "w", "nw")]
+    turns = sum(a < b for a, b in zip(around, around[1:] + around[:1], strict=True))
+    return p["c"] == 1 and 2 <= sum(around) <= 6 and turns == 1
+
+
+def is_kept(p: dict) -> bool:
+    """Of marks, those stay that have a mark above or to the left; unmarked pixels stay."""
+    return p["c"] == 0 or p["n"] == 1 or p["w"] == 1
+
+
+def mark_and_erase(px: DataFrame, marks: list[int], keeps: list[int]) -> DataFrame:
+    """One thinning pass: pixels are marked by one table, and stay where the other allows it, given the
+    marks around them.  Both tables are parameters; see rule_table."""
+    marked = table_pass(px.withColumn("was", F.col("v")), marks)
+    return table_pass(marked, keeps).select("image_id", "y", "x", (F.col("was") * F.col("v")).cast("int").alias("v"))
+
+
 def edge_links(edges: DataFrame) -> DataFrame:
     """Ordered pairs of different ends that share a place: (edge_a, end_a, edge_b, end_b)."""
     a, b = edges.alias("a"), edges.alias("b")

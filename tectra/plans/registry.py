@@ -311,14 +311,18 @@ def canny_edges(spark, sf):
     return _hysteresis(ops.canny_flags(_u8(spark, sf), 50, 150))
 
 
-#: Column-major weights of the 3x3 table index.
-_LUT = {"nw": 256, "w": 128, "sw": 64, "n": 32, "c": 16, "s": 8, "ne": 4, "e": 2, "se": 1}
+@plan(f"WITH {sql.BIN}, {sql.nine('bin', 'b9', 'zero')} SELECT image_id, y, x, CAST({' + '.join(f'{k} * {w}' for k, w in ops.TABLE.items())} AS INTEGER) AS idx FROM b9")
+def lut_index(spark, sf):
+    return ops.table_index(_bin(spark, sf)).select(*KEY, "idx")
 
 
-@plan(f"WITH {sql.BIN}, {sql.nine('bin', 'b9', 'zero')} SELECT image_id, y, x, CAST({' + '.join(f'{k} * {w}' for k, w in _LUT.items())} AS INTEGER) AS idx FROM b9")
-def lut_index(spark, sf):
-    n = ops.neighbours(_bin(spark, sf), "zero")
-    return n.select(*KEY, sum((F.col(k) * w for k, w in _LUT.items()), F.lit(0)).cast("int").alias("idx"))
+_TURNS = " + ".join(f"CASE WHEN {a} < {b} THEN 1 ELSE 0 END" for a, b in (("n", "ne"), ("ne", "e"), ("e", "se"), ("se", "s"), ("s", "sw"), ("sw", "w"), ("w", "nw"), ("nw", "n")))
+
+
+@plan(f"""WITH {sql.BIN}, {sql.nine('bin', 'b9', 'zero')}, marked AS (SELECT image_id, y, x, c AS was, CASE WHEN c = 1 AND nw + n + ne + w + e + sw + s + se BETWEEN 2 AND 6 AND {_TURNS} = 1 THEN 1 ELSE 0 END AS v FROM b9),
+    {sql.nine('marked', 'm9', 'zero')} SELECT image_id, y, x, CASE WHEN was = 1 AND (c = 0 OR n = 1 OR w = 1) THEN 1 ELSE 0 END AS v FROM m9""")
+def thin_pass(spark, sf):
+    return ops.mark_and_erase(_bin(spark, sf), ops.rule_table(ops.is_border), ops.rule_table(ops.is_kept))
 
 
 _RING_SUM = " + ".join(k for k in ops.NINE if k != "c")
@@ -647,6 +651,15 @@ def simplify(spark, sf):
     return one.per_image(_bin(spark, sf), lambda i, p: _lines(i, p, 1.0, 10.0), _LINE)
 
 
+@plan()
+def outer_polygons(spark, sf):
+    def work(image_id, pdf):
+        rings = one.outer_polygons(one.grid(pdf) > 0)
+        return [(image_id, k, len(r) - 1, round(abs(one.area(r)), 4), "POLYGON ((" + ", ".join(f"{x:g} {y:g}" for x, y in r) + "))") for k, r in enumerate(rings)]
+
+    return one.per_image(_bin(spark, sf), work, "image_id long, polygon_id int, corners int, area double, wkt string")
+
+
 @plan()
 def astar_path(spark, sf):
     def work(image_id, pdf):

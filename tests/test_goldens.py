@@ -169,3 +169,48 @@ def test_svg_document_is_ordered(spark):
     rows = spark.createDataFrame([(1, 2, "M 1 1"), (1, 1, "M 0 0")], "page int, line_id int, path string")
     svg = files.svg_document(rows, 10, 20).first().svg
     assert svg.index("M 0 0") < svg.index("M 1 1") and svg.startswith("<svg") and svg.endswith("</svg>")
+
+
+def test_outer_polygons_leave_out_holes_and_islands():
+    b = np.zeros((20, 20), bool)
+    b[2:18, 2:18] = True
+    b[5:15, 5:15] = False
+    b[8:12, 8:12] = True
+    (ring,) = one.outer_polygons(b)
+    assert ring[0] == ring[-1] and one.is_simple(ring)
+    # A border of length 64 moves inwards by at most a hundredth of its length.
+    assert 256 - 64 * 0.64 <= abs(one.area(ring)) <= 256
+    (exact,) = one.outer_polygons(b, 0)
+    assert abs(one.area(exact)) == 16 * 16 - 4 / 8
+    assert one.outer_polygons(np.zeros((3, 3), bool)) == []
+    assert len(one.outer_polygons(np.ones((4, 4), bool))) == 1
+
+
+def test_crossing_sides_are_found():
+    assert not one.is_simple([(0, 0), (2, 2), (2, 0), (0, 2), (0, 0)])
+    assert one.is_simple([(0, 0), (2, 0), (2, 2), (0, 2), (0, 0)])
+
+
+def test_table_pass_takes_512_entries(spark):
+    px = _pixels(spark, np.ones((2, 2)))
+    with pytest.raises(ValueError):
+        ops.table_pass(px, [0] * 511)
+    assert {r.v for r in ops.table_pass(px, ops.rule_table(lambda p: p["c"])).collect()} == {1}
+
+
+def test_thin_pass_keeps_lines(spark):
+    px = _pixels(spark, LINE.astype(int))
+    thin = ops.mark_and_erase(px, ops.rule_table(ops.is_border), ops.rule_table(ops.is_kept))
+    assert {(r.y, r.x) for r in thin.filter("v = 1").collect()} == {tuple(p) for p in np.argwhere(LINE).tolist()}
+
+
+def test_streamed_files_count_once(spark, tmp_path):
+    from tectra.streaming import images as stream
+
+    files_in, out = tmp_path / "in", str(tmp_path / "out")
+    files_in.mkdir()
+    for k in range(3):
+        (files_in / f"{k}.png").write_bytes(files.encode_png(np.full((2, 3), 10 * k)))
+        stream.write_statistics(spark, str(files_in), out, str(tmp_path / "state")).awaitTermination()
+    rows = spark.read.parquet(out).orderBy("mean").collect()
+    assert [(r.pixels, r.lo, r.hi, r.mean) for r in rows] == [(6, v, v, v) for v in (0.0, 10.0, 20.0)]
