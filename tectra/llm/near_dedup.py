@@ -7,8 +7,11 @@ ones are cut by longer prefixes.  Within a region, estimates from whole signatur
 spanning forest of likely links, a linear number of candidates.  What they connect is a block: every
 likely pair of every region lies within one.  Blocks are linked exactly, on full shingle sets: each
 text moves to its block once, an inverted index of the block gives all intersections, and only one
-link a document leaves.  A block of more than REGION classes is linked region by region instead.
-Components come from alternating large and small stars.
+link a document leaves.  A block of more than REGION classes is linked region by region first.
+
+What a cut could lose is made good: where a region that was cut, or a block of more than REGION
+classes, is not yet one component, all classes outside its largest component are compared with all
+of its classes, by parts of bounded size.  Components come from alternating large and small stars.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from tectra.llm.common import materialize, prepare
 TREES, DEPTHS = 12, (3, 5, 7, 9)
 DEPTH = DEPTHS[-1]
 HASHES = TREES * DEPTH
-#: Classes of a region that is not cut any further.
+#: Classes of a region that is not cut any further, and of a group that is compared at once.
 REGION = 2048
 #: A pair is likely if its estimate is below the similarity by no more than this (over 4.5 standard
 #: deviations of the estimate at 0.8 and above).
@@ -95,11 +98,12 @@ def _key(tree: Column, sig: Column, depth: int) -> Column:
     return F.xxhash64(tree, F.lit(depth), F.substring(sig, tree * (2 * DEPTH) + 1, F.lit(2 * depth)))
 
 
-def regions(classes: DataFrame, region: int = REGION) -> DataFrame:
-    """(key, rep): the classes of every region with two at least, of every tree."""
+def regions(classes: DataFrame, region: int = REGION) -> tuple[DataFrame, DataFrame | None]:
+    """(key, rep): the classes of every region with two at least, of every tree; and the same of the
+    regions that had to be cut, as they were before (None if there are none)."""
     trees = F.sequence(F.lit(0), F.lit(TREES - 1))
     rows = classes.select("rep", F.explode(F.transform(trees, lambda t: F.struct(t.alias("tree"), _key(t, F.col("sig"), DEPTHS[0]).alias("key")))).alias("k")).select("rep", "k.*")
-    out = []
+    out, uncut = [], None
     for i in range(len(DEPTHS)):
         sizes = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("hub")).filter("size > 1"), "regions")
         out.append(rows.join(sizes.filter(F.col("size") <= region), "key").select("key", "rep"))
@@ -107,6 +111,8 @@ def regions(classes: DataFrame, region: int = REGION) -> DataFrame:
         if dense.isEmpty():
             break
         inside = rows.join(dense, "key")
+        if i == 0:
+            uncut = materialize(inside.select("key", "rep"), "uncut")
         if i + 1 < len(DEPTHS):
             deeper = inside.select("rep", "tree").join(classes, "rep")
             rows = materialize(deeper.select("rep", "tree", _key(F.col("tree"), F.col("sig"), DEPTHS[i + 1]).alias("key")), "dense")
@@ -118,7 +124,29 @@ def regions(classes: DataFrame, region: int = REGION) -> DataFrame:
     whole = out[0]
     for part in out[1:]:
         whole = whole.unionByName(part)
-    return whole.distinct() if len(out) > len(DEPTHS) else whole
+    return (whole.distinct() if len(out) > len(DEPTHS) else whole), uncut
+
+
+def crossed(groups: DataFrame, region: int = REGION) -> DataFrame:
+    """groups: key, rep, own (the component so far).  Gives (key, rep, own, minor): every class that is
+    outside the largest component of its group meets, marked minor, each other class of the group
+    under one key.  A key has about region rows; groups of one component have none."""
+    sizes = groups.groupBy("key", "own").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "own")).alias("main")).select("key", "size", F.col("main.own").alias("main"), (F.col("size") - F.col("main.n")).alias("rest"))
+    parts = lambda n: F.ceil(F.col(n) * 2 / region).cast("long")
+    sizes = sizes.filter("rest > 0").select("key", "main", parts("size").alias("columns"), parts("rest").alias("rows"))
+    inside = groups.join(sizes, "key")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    dealt = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n))
+    every = inside.select("key", "rep", "own", F.lit(False).alias("minor"), upto("rows").alias("i"), dealt("columns", 1).alias("j"))
+    minor = inside.filter("own != main").select("key", "rep", "own", F.lit(True).alias("minor"), dealt("rows", 2).alias("i"), upto("columns").alias("j"))
+    return every.unionByName(minor).select(F.xxhash64("key", "i", "j").alias("key"), "rep", "own", "minor")
+
+
+def with_own(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """groups with the component of each rep by labels (rep, component), by default the rep itself."""
+    labels = labels.select("rep", F.col("component").alias("own"))
+    return groups.join(labels, "rep", "left").select("key", "rep", F.coalesce("own", "rep").alias("own"))
 
 
 def _alike(sigs: np.ndarray, sizes: np.ndarray, i: int, similarity: float) -> np.ndarray:
@@ -160,6 +188,35 @@ def candidates(members: DataFrame, classes: DataFrame, similarity: float) -> Dat
     return _by_group(rows, "rep", links, "a long, b long").distinct()
 
 
+def crossed_candidates(members: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: links that join all components with a likely link in a group of crossed()."""
+
+    def links(held):
+        reps, sizes = np.array(held[0]), np.array(held[3])
+        sigs = np.frombuffer(b"".join(held[4]), "<u2").reshape(-1, HASHES)
+        near = lambda i: _alike(sigs, sizes, i, similarity) >= similarity - SLACK
+        return joins(reps, np.array(held[1]), np.flatnonzero(held[2]), near)
+
+    rows = members.join(classes, "rep").select("key", "rep", "own", "minor", "n_shingles", "sig")
+    return _by_group(rows, "rep", links, "a long, b long").distinct()
+
+
+def joins(reps: np.ndarray, own: np.ndarray, minor: np.ndarray, near) -> list[tuple[int, int]]:
+    """Links (a, b), a < b, that join the components own of all that near(i) gives for i of minor; no
+    more of them than components."""
+    component, out = own.copy(), []
+    for i in minor.tolist():
+        if (component == component[i]).all():
+            break
+        found = np.flatnonzero(near(i) & (component != component[i]))
+        if not len(found):
+            continue
+        joined, first = np.unique(component[found], return_index=True)
+        out += [(int(min(reps[i], reps[j])), int(max(reps[i], reps[j]))) for j in found[first]]
+        component[np.isin(component, joined)] = component[i]
+    return out
+
+
 def _by_group(rows: DataFrame, order: str, work, schema: str) -> DataFrame:
     """work(columns) for every group of equal first columns; gives pairs of longs.  Groups are streamed
     from sorted partitions: small ones cost no call of their own, each is bounded by REGION."""
@@ -204,6 +261,37 @@ def linked_blocks(blocks: DataFrame, width: int, percent: int) -> DataFrame:
     return _by_group(blocks, "rep", links, "a long, b long")
 
 
+def crossed_links(blocks: DataFrame, width: int, percent: int) -> DataFrame:
+    """blocks: key, rep, own, minor, text, of crossed().  Gives (a, b), a < b: links that join all
+    components with a link in a group, by exact intersections."""
+
+    def links(held):
+        sets = [shingles(t, width) for t in held[3]]
+        return joins(np.array(held[0]), np.array(held[1]), np.flatnonzero(held[2]), _linked(sets, percent))
+
+    return _by_group(blocks, "rep", links, "a long, b long").distinct()
+
+
+def _linked(sets: list[np.ndarray], percent: int):
+    """A function that gives for the number of a set which sets are linked with it."""
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    postings = np.repeat(np.arange(n), sizes)[np.argsort(place, kind="stable")]
+    starts, cuts = np.cumsum(times) - times, np.cumsum(sizes)
+
+    def linked(i: int) -> np.ndarray:
+        own = place[cuts[i] - sizes[i] : cuts[i]]
+        own = own[times[own] > 1]
+        if not len(own):
+            return np.zeros(n, bool)
+        reach = np.cumsum(times[own])
+        at = np.repeat(starts[own] - reach + times[own], times[own]) + np.arange(reach[-1])
+        both = np.bincount(postings[at], minlength=n)
+        return (both > 0) & (100 * both >= percent * (sizes + sizes[i] - both))
+
+    return linked
+
+
 def block_components(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """For each set the first one of its component; links are 100 * intersection >= percent * union."""
     n, sizes = len(sets), np.array([len(x) for x in sets])
@@ -212,21 +300,11 @@ def block_components(sets: list[np.ndarray], percent: int) -> np.ndarray:
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         component[1] = 0 if both and 100 * both >= percent * (sizes.sum() - both) else 1
         return component
-    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    postings = np.repeat(np.arange(n), sizes)[np.argsort(place, kind="stable")]
-    starts, cuts = np.cumsum(times) - times, np.cumsum(sizes)
+    linked = _linked(sets, percent)
     for i in range(n - 1):
         if (component[i:] == component[i]).all():
             continue
-        own = place[cuts[i] - sizes[i] : cuts[i]]
-        own = own[times[own] > 1]
-        reach = np.cumsum(times[own])
-        if not len(own):
-            continue
-        at = np.repeat(starts[own] - reach + times[own], times[own]) + np.arange(reach[-1])
-        both = np.bincount(postings[at], minlength=n)
-        linked = (both > 0) & (100 * both >= percent * (sizes + sizes[i] - both))
-        joined = np.unique(component[linked])
+        joined = np.unique(component[linked(i)])
         if len(joined) > 1:
             component[np.isin(component, joined)] = joined[0]
     return component
@@ -268,8 +346,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"))
     reps = materialize(reps, "classes")
     classes = reps.select("rep", "n_shingles", "sig")
-    members = materialize(regions(classes, region), "members")
+    members, uncut = regions(classes, region)
+    members = materialize(members, "members")
     likely = materialize(candidates(members, classes, similarity), "likely")
+    if uncut is not None:
+        across = crossed(with_own(uncut, components(likely)), region)
+        likely = likely.unionByName(materialize(crossed_candidates(across, classes, similarity), "likely"))
     blocks = materialize(components(likely).select("rep", F.col("component").alias("block")), "blocks")
     sizes = materialize(blocks.groupBy("block").agg(F.count(F.lit(1)).alias("size")), "sizes")
     parts = blocks.join(sizes.filter(F.col("size") <= region), "block").select("block", "rep")
@@ -282,6 +364,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = materialize(linked_blocks(parts.join(texts, "rep").select("block", "rep", "text"), width, percent), "links")
     # Blocks that were not split share no document: their links are their components already.
     labels = components(links) if split else links.select(F.col("b").alias("rep"), F.col("a").alias("component"))
+    if split:
+        whole = blocks.join(large, "block").select(F.col("block").alias("key"), "rep")
+        across = crossed(with_own(whole, labels), region).join(texts, "rep").select("key", "rep", "own", "minor", "text")
+        more = materialize(crossed_links(across, width, percent), "links")
+        if not more.isEmpty():
+            labels = components(links.unionByName(more))
     named = reps.select("digest", "rep").join(labels, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = sketched.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))

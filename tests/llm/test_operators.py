@@ -345,6 +345,22 @@ def test_near_duplicates_in_dense_regions(spark):
     assert np.mean([got[d] == whole[d] for d in whole]) > 0.9
 
 
+def test_near_duplicates_lose_nothing_to_cuts(spark):
+    """Pairs at the threshold in families far larger than a region: cut regions and large blocks."""
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    table = []
+    for _ in range(3):
+        base = rng.choice(vocabulary, 150).tolist()
+        for _ in range(80):
+            words = list(base)
+            for at in rng.choice(150, rng.integers(2, 8), replace=False):
+                words[at] = str(rng.choice(vocabulary))
+            table.append((len(table), " ".join(words)))
+    frame = spark.createDataFrame(table, "doc_id long, text string")
+    check_near(near_dedup.near_duplicates(frame, width=3, percent=85, region=16).collect(), table, 3, 85)
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     check_near(near_dedup.near_duplicates(odd, width=3, percent=85).collect(), [r[:2] for r in ODD], 3, 85)
     assert near_dedup.near_duplicates(empty).count() == 0
