@@ -113,9 +113,10 @@ _AT_SIGN = rf"\s*{_OPEN}\s*(?:{_AT_WORD}|@)\s*{_SHUT}\s*"
 _DOT_SIGN = rf"\s*{_OPEN}\s*(?:{_DOT_WORD}|\.)\s*{_SHUT}\s*"
 _LABEL = r"[A-Za-z0-9-]+"
 _NAME = rf"[A-Za-z0-9_%+-]+(?:(?:{_DOT_SIGN}|\.|\s+{_DOT_WORD}\s+)[A-Za-z0-9_%+-]+)*"
-# A bracketed at with dots of any form; or a spelled or real at with disguised dots only.
+# A bracketed at with dots of any form; a spelled or real at with disguised dots only; or a real at with
+# plain dots and then bracketed ones.
 _MAIL = re.compile(
-    rf"(?<![A-Za-z0-9_%+.-])(?:{_NAME}{_AT_SIGN}{_LABEL}(?:(?:{_DOT_SIGN}|\.|\s+{_DOT_WORD}\s+){_LABEL})+|{_NAME}(?:\s+{_AT_WORD}\s+|\s*@\s*){_LABEL}(?:(?:{_DOT_SIGN}|\s+{_DOT_WORD}\s+){_LABEL})+)",
+    rf"(?<![A-Za-z0-9_%+.-])(?:{_NAME}{_AT_SIGN}{_LABEL}(?:(?:{_DOT_SIGN}|\.|\s+{_DOT_WORD}\s+){_LABEL})+|{_NAME}(?:\s+{_AT_WORD}\s+|\s*@\s*){_LABEL}(?:(?:{_DOT_SIGN}|\s+{_DOT_WORD}\s+){_LABEL})+|{_NAME}\s*@\s*{_LABEL}(?:\.{_LABEL})+(?:{_DOT_SIGN}{_LABEL}(?:\.{_LABEL})*)+)",
     re.IGNORECASE,
 )
 _MAIL_SIGN = re.compile(rf"{_OPEN}\s*(?:{_AT_WORD}|{_DOT_WORD}|@|\.)\s*{_SHUT}|\s{_DOT_WORD}\s", re.IGNORECASE)
@@ -177,9 +178,9 @@ def ordered(spans: list[Span]) -> str:
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
-    """Plain spans, and the disguised ones that overlap no plain span of their kind."""
+    """Plain spans, and the disguised ones that lie within no plain span of their kind."""
     base = plain_spans(text)
-    more = [s for s in disguised_spans(text) if not any(s[0] == k and s[1] < b and a < s[2] for k, a, b in base)]
+    more = [s for s in disguised_spans(text) if not any(s[0] == k and a <= s[1] and s[2] <= b for k, a, b in base)]
     return base, more
 
 

@@ -467,6 +467,21 @@ def test_disguises(text, kind, part):
     assert part not in pii.masked(text)
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "part"),
+    [
+        ("to j\u0430ne@example.com now", "email", "j\u0430ne@example.com"),
+        ("to jane@example.co (dot) uk now", "email", "jane@example.co (dot) uk"),
+        ("call +44 20 7946 09\uff15\uff18 now", "phone", "+44 20 7946 09\uff15\uff18"),
+    ],
+)
+def test_disguises_wider_than_a_plain_find(text, kind, part):
+    base, more = pii.all_spans(text)
+    at = text.index(part)
+    assert any(k == kind for k, _, _ in base) and more == [(kind, at, at + len(part))]
+    assert pii.masked(text) == text.replace(part, f"[{kind}]")
+
+
 @pytest.mark.parametrize("text", ["look at example.com for more", "the dot on the i at noon", "one two three go", "Привет, мир. Ответ: сорок два.", "at dot at dot", "a point of view"])
 def test_no_disguise(text):
     assert pii.disguised_spans(text) == []
