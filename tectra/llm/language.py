@@ -2,8 +2,9 @@
 
 A text's vector holds its letter n-grams (1 to 3 letters, hashed) with sublinear counts times inverse
 document frequency, scaled to length one.  Each language's sample is clustered by spherical k-means;
-its centroids are compared with a text by cosine.  A text further from every centroid than the
-language's own sample ever was, by a margin, is rejected; texts too short to tell are not."""
+its centroids are compared with a text by cosine.  A text further from every centroid, by a margin,
+than nearly all rows of the language that the clusters have not seen is rejected; texts too short to
+tell are not."""
 
 from __future__ import annotations
 
@@ -19,9 +20,10 @@ from tectra.llm.toxicity import in_fold
 
 #: Hashed n-grams; centroids of a language; rows of a language's sample, at most about.
 DIM, CENTROIDS, SAMPLE = 1 << 13, 3, 800
-#: A text is rejected where its cosine is below REJECT times the smallest of its language's sample.
-#: Texts with fewer distinct n-grams than EVIDENCE are too short for a distance to tell.
-REJECT, EVIDENCE = 0.3, 100
+#: A text is rejected where its cosine is below REJECT times the quantile LOW of its language's rows held
+#: apart from clustering, one in APART of the sample.  Texts with fewer distinct n-grams than EVIDENCE
+#: are too short for a distance to tell.
+REJECT, LOW, APART, EVIDENCE = 0.5, 0.01, 4, 100
 UNKNOWN = "und"
 
 
@@ -68,7 +70,7 @@ def cluster(x: np.ndarray, k: int = CENTROIDS, rounds: int = 8, seed: int = 3) -
 
 def train(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
     """labelled has doc_id, text, lang.  Gives idf, and of each centroid its language, vector and the
-    cosine below which it rejects.  The sample of a language is its rows with the smallest hashes."""
+    low quantile of its language's cosines.  The sample of a language is its rows with the smallest hashes."""
     spark = labelled.sparkSession
     per = labelled.groupBy("lang").count()
     dealt = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30))
@@ -99,8 +101,10 @@ def train(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS)
         if not texts:
             return pd.DataFrame({"lang": [], "vector": [], "least": []})
         x, distinct = vectors(texts, spread.value)
-        c = cluster(x, centroids)
-        least = float((x @ c.T).max(axis=1)[distinct >= EVIDENCE].min(initial=1.0)) if (distinct >= EVIDENCE).any() else 0.0
+        apart = np.arange(len(x)) % APART == APART - 1
+        c = cluster(x[~apart], centroids)
+        apart &= distinct >= EVIDENCE
+        least = float(np.quantile((x[apart] @ c.T).max(axis=1), LOW)) if apart.any() else 0.0
         return pd.DataFrame({"lang": [key[0]] * len(c), "vector": [v.tolist() for v in c], "least": [least] * len(c)})
 
     # A few rows a language; languages are few, whatever the number of documents.

@@ -544,6 +544,19 @@ def test_language(spark):
     assert np.mean([r.rejected for r in found]) < 0.001
 
 
+def test_language_rejects_what_it_did_not_learn(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(6)
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä."
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa."
+    russian = "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства."
+    letters = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 2000))
+    strange = spark.createDataFrame([(10**9 + i, t, None) for i, t in enumerate((finnish, polish, russian, letters))], docs.schema)
+    found = language.identified(docs.unionByName(strange)).collect()
+    assert {r.doc_id for r in found if r.rejected and r.doc_id >= 10**9} == {10**9 + i for i in range(4)}
+    assert np.mean([r.rejected for r in found if r.doc_id < 10**9]) < 0.001
+
+
 def test_language_of_odd_rows(odd, empty):
     found = {r.doc_id: r for r in language.identified(odd).collect() if r.doc_id is not None}
     assert [found[d].lang_pred for d in (5, 1, 12)] == ["und"] * 3
