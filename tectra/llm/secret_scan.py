@@ -1,6 +1,7 @@
 """Secret scan with a random forest against false positives, in DataFrame functions only.
 
-Candidates are runs of at least SHORTEST key characters with a digit.  The forest is trained with
+Candidates are runs of at least SHORTEST key characters with a digit, and of any length and make what
+follows a key word with = or : and what begins with a known head.  The forest is trained with
 Spark's MLlib on labelled findings and turned into SQL expressions, so that scoring is a projection.
 Its features: length, shares of character classes, changes between classes, distinct characters, how
 much of the candidate dictionary words cover, path and URL signs, and words before and after."""
@@ -33,6 +34,11 @@ _DICTIONARY = "|".join(sorted({w for w in DICTIONARY.split() if len(w) > 2}, key
 KEY_WORDS = r"(?i)(key|token|secret|passw|pwd|auth|credential|bearer|api|private)"
 SAMPLE_WORDS = r"(?i)(example|sample|test|dummy|placeholder|commit|sha1|sha256|md5|checksum|digest|uuid|build|version|order|invoice|isbn|serial)"
 KEY_HEADS = r"^(AKIA|ASIA|ghp_|gho_|ghs_|sk_live_|sk-|xox[abp]-|AIza|eyJ|glpat-)"
+# A key word's name with = or :, and the value up to a quote or separator; the same at the end of a word; heads within one.
+_NAME = r"(?i:key|token|secret|passw(?:or)?d|passwd|pwd|auth|credential|bearer|api|private)[A-Za-z0-9_-]*[\"']?"
+_ASSIGNED = _NAME + r"(?:=|:(?!//))+[\"']?([^\"',;]+)"
+_ASSIGNS = _NAME + r"\x20?[=:]+$"
+_HEADED = r"(?<![A-Za-z0-9])(" + KEY_HEADS[2:-1] + r")[A-Za-z0-9+/_=-]+"
 FEATURES = ("length", "digits", "uppers", "lowers", "signs", "changes", "distinct", "hex", "covered", "slashes", "address", "key_near", "sample_near", "head", "assigned")
 
 
@@ -42,12 +48,20 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def found(words: Column) -> Column:
         numbered = F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w")))
-        some = F.filter(numbered, lambda x: (F.length(x["w"]) >= SHORTEST) & x["w"].rlike(_HAS))
         at = lambda i: F.coalesce(F.get(words, i), F.lit(""))
-        return F.transform(some, lambda x: F.struct(x["i"].alias("word_no"), x["w"].alias("word"), F.concat_ws(" ", at(x["i"] - 2), at(x["i"] - 1)).alias("before"), at(x["i"] + 1).alias("after"), F.regexp_extract_all(x["w"], F.lit(_HAS), F.lit(0)).alias("runs")))
+        # The cheap tests first: a value in the next word needs a word that ends with = or : before it.
+        ends = lambda x: at(x["i"] - 1).rlike("[=:]$") & F.concat_ws(" ", at(x["i"] - 2), at(x["i"] - 1)).rlike(_ASSIGNS)
+        some = F.filter(numbered, lambda x: ((F.length(x["w"]) >= SHORTEST) & x["w"].rlike(_HAS)) | x["w"].rlike(_ASSIGNED) | x["w"].rlike(_HEADED) | ends(x))
+        bare = lambda w: F.regexp_replace(w, "^[\"'(]+|[\"',;)]+$", "")
+        value = lambda x: F.when(ends(x), F.array(bare(x["w"]))).otherwise(F.array().cast("array<string>"))
+        named = lambda x: F.concat(F.regexp_extract_all(x["w"], F.lit(_ASSIGNED), F.lit(1)), F.regexp_extract_all(x["w"], F.lit(_HEADED), F.lit(0)), value(x))
+        return F.transform(some, lambda x: F.struct(x["i"].alias("word_no"), x["w"].alias("word"), F.concat_ws(" ", at(x["i"] - 2), at(x["i"] - 1)).alias("before"), at(x["i"] + 1).alias("after"), F.regexp_extract_all(x["w"], F.lit(_HAS), F.lit(0)).alias("runs"), F.array_distinct(named(x)).alias("named")))
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(let(F.split(F.coalesce(F.col(text_col), F.lit("")), SPACE), found)).alias("f")).select("doc_id", "f.*")
-    return rows.withColumn("candidate", F.explode("runs")).drop("runs").withColumn("candidate", F.regexp_replace("candidate", "^(?i)([a-z_-]*(?:key|token|secret|passw(?:or)?d|pwd|auth))=+", "")).filter(F.length("candidate") >= SHORTEST)
+    runs = F.transform("runs", lambda c: F.regexp_replace(c, "^(?i)([a-z_-]*(?:key|token|secret|passw(?:or)?d|pwd|auth))=+", ""))
+    runs = F.filter(runs, lambda c: F.length(c) >= SHORTEST)
+    every = let(runs, lambda r: F.concat(r, F.array_except(F.filter("named", lambda c: c != ""), r)))
+    return rows.withColumn("candidate", F.explode(every)).drop("runs", "named")
 
 
 def with_features(found: DataFrame) -> DataFrame:
