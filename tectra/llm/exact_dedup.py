@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tectra.llm.bloom import may_hold, without
+from tectra.llm.bloom import may_hold
 from tectra.llm.common import fresh, materialize, prepare, remove, scratch_path
 
 
@@ -88,12 +88,18 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose text equals that of a smaller doc_id; of rows that repeat a
     doc_id and its text one stays; rows with a null doc_id stay.  Columns are unchanged."""
-    marks = exact_duplicates(docs, id_col, text_col)
-    kept = without(docs, id_col, marks.filter(~F.col("kept")).select("doc_id"))
-    twice = materialize(marks.filter("kept and group_size > 1 and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
-    if twice.isEmpty():
-        return kept
-    key = fresh(docs, "__twice")
-    same = kept[id_col].cast("long") == F.col(key)
-    twice = twice.withColumnRenamed("doc_id", key)
-    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates([id_col]))
+    marks = exact_duplicates(docs, id_col, text_col).filter("doc_id is not null").select("doc_id", "kept", "group_size", "text_sha256")
+    digest, may, id_key, digest_key = (fresh(docs, x) for x in ("__digest", "__may", "__doc", "__sha"))
+    pairs = lambda rows: rows.select(F.col("doc_id").alias(id_key), F.col("text_sha256").alias(digest_key)).distinct()
+    gone = materialize(pairs(marks.filter("not kept")), "gone")
+    repeated = marks.filter("kept and group_size > 1").groupBy("doc_id", "text_sha256").count().filter("count > 1")
+    twice = materialize(pairs(repeated), "twice")
+    marked = docs.withColumn(digest, F.sha2(normalised(docs[text_col]), 256))
+    marked = marked.withColumn(may, may_hold(gone, docs[id_col].cast("long"), F.col(digest)))
+    same = lambda rows: (rows[id_col].cast("long") == F.col(id_key)) & (rows[digest] == F.col(digest_key))
+    rest = marked.filter(F.col(may))
+    kept = marked.filter(~F.col(may)).unionByName(rest.join(gone, same(rest), "left_anti"))
+    if not twice.isEmpty():
+        once = kept.join(twice, same(kept), "left_semi").dropDuplicates([id_col, digest])
+        kept = kept.join(twice, same(kept), "left_anti").unionByName(once)
+    return kept.drop(may, digest)

@@ -83,6 +83,12 @@ def test_drop_exact_duplicates(odd, empty):
     assert exact_dedup.drop_exact_duplicates(empty).count() == 0
 
 
+def test_drop_exact_duplicates_tells_texts_of_one_id_apart(spark):
+    table = [(3, "A"), (5, "A"), (5, "B"), (7, "C"), (7, "C"), (7, "D"), (8, "D"), (7, "D")]
+    left = exact_dedup.drop_exact_duplicates(spark.createDataFrame(table, "doc_id long, text string"))
+    assert sorted(map(tuple, left.collect())) == [(3, "A"), (5, "B"), (7, "C"), (7, "D")]
+
+
 def test_digest_index_batches_equal_one_batch(spark, docs):
     keyed = docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
     whole, parts = exact_dedup.DigestIndex(spark), exact_dedup.DigestIndex(spark)
