@@ -17,6 +17,8 @@ from tectra.llm.common import fresh
 #: 16 bits a key within these bounds (8 kB to 64 MB).
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 29
 _PROBES, _BLOCK = 6, 1 << 16
+#: Ids that may be broadcast instead (8 bytes each).
+BROADCAST = 500_000
 
 
 def _positions(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -32,10 +34,11 @@ def build(keys: DataFrame) -> np.ndarray:
     bits = min(MAX_BITS, max(MIN_BITS, 1 << math.ceil(math.log2(16 * keys.count() + 1))))
 
     def partial(batches):
-        held = np.zeros(bits, bool)
+        packed = np.zeros(bits // 8, np.uint8)
         for pdf in batches:
-            held[_positions(pdf["h"].to_numpy(), bits).ravel()] = True
-        packed = np.packbits(held).reshape(-1, _BLOCK // 8)
+            at = np.unique(_positions(pdf["h"].to_numpy(), bits))
+            np.bitwise_or.at(packed, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        packed = packed.reshape(-1, _BLOCK // 8)
         some = np.flatnonzero(packed.any(axis=1))
         yield pd.DataFrame({"block": some.astype("int64"), "bits": [packed[i].tobytes() for i in some]})
 
@@ -63,11 +66,18 @@ def may_hold(keys: DataFrame, *cols: Column) -> Column:
     return test(F.xxhash64(*cols))
 
 
+def _few(ids: DataFrame) -> bool:
+    """Whether ids (materialized, one long column) are few enough to be broadcast: 8 bytes each."""
+    return ids.count() <= BROADCAST
+
+
 def without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose id is in gone (one long column).  Rows with a null id stay.  Only
-    rows that the filter lets through are shuffled."""
+    """docs without the rows whose id is in gone (one long column).  Rows with a null id stay.  Up to
+    BROADCAST ids go to all executors; beyond that only rows that a filter lets through are shuffled."""
     may, key = fresh(docs, "__may"), fresh(docs, "__gone")
     gone = gone.select(F.col(gone.columns[0]).cast("long").alias(key)).filter(F.col(key).isNotNull()).distinct()
+    if _few(gone):
+        return docs.join(F.broadcast(gone), docs[id_col].cast("long") == F.col(key), "left_anti")
     marked = docs.withColumn(may, may_hold(gone, docs[id_col].cast("long")))
     rest = marked.filter(F.col(may))
     rest = rest.join(gone, rest[id_col].cast("long") == F.col(key), "left_anti")
@@ -75,8 +85,10 @@ def without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
 
 
 def only(docs: DataFrame, id_col: str, wanted: DataFrame) -> DataFrame:
-    """docs' rows whose id is in wanted (one long column)."""
+    """docs' rows whose id is in wanted (one long column); as without()."""
     key = fresh(docs, "__wanted")
     wanted = wanted.select(F.col(wanted.columns[0]).cast("long").alias(key)).distinct()
+    if _few(wanted):
+        return docs.join(F.broadcast(wanted), docs[id_col].cast("long") == F.col(key), "left_semi")
     some = docs.filter(may_hold(wanted, docs[id_col].cast("long")))
     return some.join(wanted, some[id_col].cast("long") == F.col(key), "left_semi")

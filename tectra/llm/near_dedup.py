@@ -1,17 +1,23 @@
 """Near-duplicate documents with an LSH forest.
 
 Documents with equal shingle sets are one class; classes are what follows.  Each tree of the forest
-is an order of the classes by its own sequence of min-hashes; classes whose sequences share a prefix
-are a region of that order.  Regions of at most REGION classes end at the shallowest depth; denser
-ones are cut by longer prefixes.  Within a region, estimates from whole signatures give a maximum
-spanning forest of likely links, a linear number of candidates.  What they connect is a block: every
-likely pair of every region lies within one.  Blocks are linked exactly, on full shingle sets: each
-text moves to its block once, an inverted index of the block gives all intersections, and only one
-link a document leaves.  A block of more than REGION classes is linked region by region first.
-
-What a cut could lose is made good: where a region that was cut, or a block of more than REGION
-classes, is not yet one component, all classes outside its largest component are compared with all
+is a sorted order of the classes by its own sequence of min-hashes, made by a range partition; rows
+are then read in order, and the longest common prefix of each with the one before it is computed.
+A run of rows whose common prefixes are at least DEPTH_LEAST hashes long is a region: all its
+classes are candidates of each other.  A region of more than REGION classes is cut where its common
+prefixes are shortest, one hash deeper at a time, until the parts fit: dense places get deeper prefixes,
+others do not.  Within a region, estimates from whole signatures give a spanning forest of likely
+links, a linear number of candidates.  What they connect is a block: every likely pair of every
+region lies within one.  Blocks are linked exactly, on full shingle sets: each text moves to its
+block once, an inverted index of the block gives all intersections, and only one link a document
+leaves.  A block of more than BLOCK * REGION classes or WEIGHT shingles is linked region by region first.
+
+What a cut could lose is made good: where a region that was cut, or a block too large for one
+task, is not yet one component, all classes outside its largest component are compared with all
 of its classes, by parts of bounded size.  Components come from alternating large and small stars.
+
+A pair of similarity s shares no region of any tree with probability (1 - s ** 3) ** 12: 1e-5 at 0.85,
+2e-4 at 0.8.
 """
 
 from __future__ import annotations
@@ -27,11 +33,13 @@ from pyspark.sql import functions as F
 from tectra.llm.bloom import only, without
 from tectra.llm.common import materialize, prepare
 
-TREES, DEPTHS = 12, (3, 5, 7, 9)
-DEPTH = DEPTHS[-1]
+#: Trees; min-hashes of a sequence; least common prefix of a region, in hashes.
+TREES, DEPTH, DEPTH_LEAST = 12, 9, 3
 HASHES = TREES * DEPTH
 #: Classes of a region that is not cut any further, and of a group that is compared at once.
 REGION = 2048
+#: A block is linked in one task up to BLOCK * REGION classes with WEIGHT shingles (8 bytes each) in all.
+BLOCK, WEIGHT = 8, 4_000_000
 #: A pair is likely if its estimate is below the similarity by no more than this (over 4.5 standard
 #: deviations of the estimate at 0.8 and above).
 SLACK = 0.18
@@ -94,47 +102,86 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
 
 
-def _key(tree: Column, sig: Column, depth: int) -> Column:
-    return F.xxhash64(tree, F.lit(depth), F.substring(sig, tree * (2 * DEPTH) + 1, F.lit(2 * depth)))
-
+def regions(classes: DataFrame, region: int = REGION) -> DataFrame:
+    """(key, rep, uncut): the classes of every region with two at least, of every tree; and, with uncut
+    true, those of the regions that had to be cut, as they were before.
 
-def regions(classes: DataFrame, region: int = REGION) -> tuple[DataFrame, DataFrame | None]:
-    """(key, rep): the classes of every region with two at least, of every tree; and the same of the
-    regions that had to be cut, as they were before (None if there are none)."""
+    Each tree's order is a range partition by its sequence, so a common prefix is dealt to as many
+    tasks as its rows need.  Keys are hashes of the prefix: parts of a region in neighbouring tasks
+    have the same key."""
     trees = F.sequence(F.lit(0), F.lit(TREES - 1))
-    rows = classes.select("rep", F.explode(F.transform(trees, lambda t: F.struct(t.alias("tree"), _key(t, F.col("sig"), DEPTHS[0]).alias("key")))).alias("k")).select("rep", "k.*")
-    out, uncut = [], None
-    for i in range(len(DEPTHS)):
-        sizes = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("hub")).filter("size > 1"), "regions")
-        out.append(rows.join(sizes.filter(F.col("size") <= region), "key").select("key", "rep"))
-        dense = sizes.filter(F.col("size") > region)
-        if dense.isEmpty():
-            break
-        inside = rows.join(dense, "key")
-        if i == 0:
-            uncut = materialize(inside.select("key", "rep"), "uncut")
-        if i + 1 < len(DEPTHS):
-            deeper = inside.select("rep", "tree").join(classes, "rep")
-            rows = materialize(deeper.select("rep", "tree", _key(F.col("tree"), F.col("sig"), DEPTHS[i + 1]).alias("key")), "dense")
-        else:
-            # All min-hashes of the tree agree: deal the region out, each part with the same hub.
-            parts = F.ceil(F.col("size") * 2 / region).cast("long")
-            out.append(inside.select(F.xxhash64("key", F.pmod(F.xxhash64("rep"), parts)).alias("key"), "rep"))
-            out.append(dense.select("key", "hub", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")).select(F.xxhash64("key", "part").alias("key"), F.col("hub").alias("rep")))
-    whole = out[0]
-    for part in out[1:]:
-        whole = whole.unionByName(part)
-    return (whole.distinct() if len(out) > len(DEPTHS) else whole), uncut
+    sequence = lambda t: F.substring(F.col("sig"), t * (2 * DEPTH) + 1, F.lit(2 * DEPTH))
+    rows = classes.select("rep", F.explode(F.transform(trees, lambda t: F.struct(t.alias("tree"), sequence(t).alias("seq")))).alias("k")).select("k.tree", "k.seq", "rep")
+    ordered = rows.repartitionByRange("tree", "seq", "rep").sortWithinPartitions("tree", "seq", "rep")
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tree = np.array(batch.column(0).to_pylist(), np.uint16)
+            words = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(-1, DEPTH)
+            new = np.column_stack([tree, words]), np.array(batch.column(2).to_pylist(), np.int64)
+            words, reps = (np.concatenate(x) for x in zip(held, new, strict=True)) if held else new
+            lcp = common_prefixes(words)
+            start = int(np.flatnonzero(lcp < DEPTH_LEAST)[-1])  # the run that is still open begins here
+            yield _region_rows(words[:start], reps[:start], lcp[:start], region)
+            held = words[start:], reps[start:]
+        if held:
+            yield _region_rows(*held, common_prefixes(held[0]), region)
+
+    return ordered.mapInArrow(run, "key long, rep long, uncut boolean")
+
+
+def common_prefixes(words: np.ndarray) -> np.ndarray:
+    """Hashes that each row (tree, hash, hash ...) has in common with the row before, -1 in another tree
+    and for the first row."""
+    same = words[1:] == words[:-1]
+    depth = np.where(same.all(axis=1), words.shape[1], same.argmin(axis=1)) - 1
+    return np.concatenate([[-1], depth]) if len(words) else np.zeros(0, np.int64)
+
+
+def _region_rows(words: np.ndarray, reps: np.ndarray, lcp: np.ndarray, region: int) -> pa.RecordBatch:
+    keys, found, uncut = [], [], []
+
+    def put(key: int, members: np.ndarray, whole: bool) -> None:
+        keys.append(np.full(len(members), key, np.int64))
+        found.append(members)
+        uncut.append(np.full(len(members), whole))
+
+    todo = [(0, len(reps), DEPTH_LEAST - 1)]  # runs, and the depth at which they hold together
+    while todo:
+        a, b, depth = todo.pop()
+        starts = np.append(np.flatnonzero(lcp[a + 1 : b] <= depth) + a + 1, b)
+        for low, high in zip([a, *starts[:-1].tolist()], starts.tolist(), strict=True):
+            if high - low < 2:
+                continue
+            key = lambda n: xxhash.xxh64_intdigest(words[low, : n + 1].tobytes(), n) - (1 << 63)  # noqa: B023, E731
+            if high - low <= region:
+                put(key(depth + 1), reps[low:high], False)
+                continue
+            if depth + 1 == DEPTH_LEAST:
+                put(key(DEPTH_LEAST), reps[low:high], True)
+            if depth + 1 < DEPTH:
+                todo.append((low, high, depth + 1))
+            else:  # all hashes agree: parts with one class in common
+                for at in range(low + 1, high, region - 1):
+                    put(key(DEPTH) ^ at, np.append(reps[low], reps[at : at + region - 1]), False)
+    if not keys:
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.bool_())], ["key", "rep", "uncut"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, found, uncut)], ["key", "rep", "uncut"])
 
 
 def crossed(groups: DataFrame, region: int = REGION) -> DataFrame:
-    """groups: key, rep, own (the component so far).  Gives (key, rep, own, minor): every class that is
-    outside the largest component of its group meets, marked minor, each other class of the group
-    under one key.  A key has about region rows; groups of one component have none."""
-    sizes = groups.groupBy("key", "own").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "own")).alias("main")).select("key", "size", F.col("main.own").alias("main"), (F.col("size") - F.col("main.n")).alias("rest"))
-    parts = lambda n: F.ceil(F.col(n) * 2 / region).cast("long")
-    sizes = sizes.filter("rest > 0").select("key", "main", parts("size").alias("columns"), parts("rest").alias("rows"))
+    """groups: key, rep, weight (shingles that move, or 0), own (the component so far).  Gives (key, rep,
+    own, minor): every class that is outside the largest component of its group meets, marked minor,
+    each other class of the group under one key.  A key has about region rows, and WEIGHT shingles;
+    groups of one component have none."""
+    sizes = groups.groupBy("key", "own").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
+    sizes = sizes.groupBy("key").agg(F.sum("n").alias("size"), F.sum("w").alias("w"), F.max(F.struct("n", "own", "w")).alias("main"))
+    sizes = sizes.select("key", "size", "w", F.col("main.own").alias("main"), (F.col("size") - F.col("main.n")).alias("rest"), (F.col("w") - F.col("main.w")).alias("rest_w"))
+    parts = lambda n, w: F.greatest(F.lit(1), F.ceil(F.col(n) * 2 / region), F.ceil(F.col(w) * 2 / WEIGHT)).cast("long")
+    sizes = sizes.filter("rest > 0").select("key", "main", parts("size", "w").alias("columns"), parts("rest", "rest_w").alias("rows"))
     inside = groups.join(sizes, "key")
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     dealt = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n))
@@ -146,7 +193,7 @@ def crossed(groups: DataFrame, region: int = REGION) -> DataFrame:
 def with_own(groups: DataFrame, labels: DataFrame) -> DataFrame:
     """groups with the component of each rep by labels (rep, component), by default the rep itself."""
     labels = labels.select("rep", F.col("component").alias("own"))
-    return groups.join(labels, "rep", "left").select("key", "rep", F.coalesce("own", "rep").alias("own"))
+    return groups.join(labels, "rep", "left").select("key", "rep", "weight", F.coalesce("own", "rep").alias("own"))
 
 
 def _alike(sigs: np.ndarray, sizes: np.ndarray, i: int, similarity: float) -> np.ndarray:
@@ -157,22 +204,19 @@ def _alike(sigs: np.ndarray, sizes: np.ndarray, i: int, similarity: float) -> np
 
 
 def spanning_links(reps: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """A maximum spanning forest of the likely links of a region (Prim)."""
-    least, links, n = similarity - SLACK, [], len(reps)
-    best, source, out = np.zeros(n), np.full(n, -1), np.ones(n, bool)
-    i = 0
-    for _ in range(n):
-        out[i] = False
-        near = _alike(sigs, sizes, i, similarity)
-        closer = out & (near > best)
-        best[closer], source[closer] = near[closer], i
-        i = int(np.where(out, best, -1.0).argmax())
-        if not out[i]:
-            break
-        if best[i] >= least:
-            links.append((int(reps[source[i]]), int(reps[i])))
-        else:
-            best[:] = 0.0  # a new tree; what is left has no likely link to this one
+    """Links that span each component of the likely links of a region.  A class is compared with those
+    that no link has reached yet, so a region of one family costs about one comparison a class."""
+    links, left = [], np.arange(len(reps))
+    while len(left) > 1:
+        todo, left = [int(left[0])], left[1:]
+        while todo and len(left):
+            i = todo.pop()
+            estimate = (sigs[left] == sigs[i]).sum(axis=1) / HASHES
+            fits = np.minimum(sizes[left], sizes[i]) >= similarity * np.maximum(sizes[left], sizes[i]) - 1e-9
+            near = fits & (estimate >= similarity - SLACK)
+            found, left = left[near].tolist(), left[~near]
+            links += [(int(reps[i]), int(reps[j])) for j in found]
+            todo += found
     return links
 
 
@@ -292,6 +336,29 @@ def _linked(sets: list[np.ndarray], percent: int):
     return linked
 
 
+def _prefix_partners(sets: list[np.ndarray], percent: int):
+    """A function that gives for the number of a set all sets that could be linked with it: two sets with
+    a link have one of their rarest members in common, of as many as the link lets them differ in,
+    and one more."""
+    sizes = np.array([len(x) for x in sets])
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.lexsort((place, times[place], owner))
+    rank = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    kept = rank < (sizes - -(-percent * sizes // 100) + 1)[owner]
+    place, owner = place[order][kept], owner[kept]
+    cuts = np.searchsorted(owner, np.arange(len(sets) + 1))
+    by_place = np.argsort(place, kind="stable")
+    sorted_place, holders = place[by_place], owner[by_place]
+
+    def partners(i: int) -> np.ndarray:
+        own = place[cuts[i] : cuts[i + 1]]
+        low, high = np.searchsorted(sorted_place, own), np.searchsorted(sorted_place, own, "right")
+        return np.unique(np.concatenate([holders[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]))
+
+    return partners
+
+
 def block_components(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """For each set the first one of its component; links are 100 * intersection >= percent * union."""
     n, sizes = len(sets), np.array([len(x) for x in sets])
@@ -300,10 +367,13 @@ def block_components(sets: list[np.ndarray], percent: int) -> np.ndarray:
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         component[1] = 0 if both and 100 * both >= percent * (sizes.sum() - both) else 1
         return component
-    linked = _linked(sets, percent)
+    linked, partners = _linked(sets, percent), _prefix_partners(sets, percent)
     for i in range(n - 1):
         if (component[i:] == component[i]).all():
             continue
+        others = partners(i)
+        if (component[others] == component[i]).all():
+            continue
         joined = np.unique(component[linked(i)])
         if len(joined) > 1:
             component[np.isin(component, joined)] = joined[0]
@@ -346,16 +416,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"))
     reps = materialize(reps, "classes")
     classes = reps.select("rep", "n_shingles", "sig")
-    members, uncut = regions(classes, region)
-    members = materialize(members, "members")
+    found = materialize(regions(classes, region), "members")
+    members = found.filter("not uncut").select("key", "rep").distinct()
     likely = materialize(candidates(members, classes, similarity), "likely")
-    if uncut is not None:
-        across = crossed(with_own(uncut, components(likely)), region)
+    cut = found.filter("uncut").select("key").distinct()
+    if not cut.isEmpty():
+        # The ends of a region that was cut in some tasks only count as its members too.
+        whole = found.join(cut, "key", "left_semi").select("key", "rep").distinct()
+        across = crossed(with_own(whole.withColumn("weight", F.lit(0).cast("long")), components(likely)), region)
         likely = likely.unionByName(materialize(crossed_candidates(across, classes, similarity), "likely"))
-    blocks = materialize(components(likely).select("rep", F.col("component").alias("block")), "blocks")
-    sizes = materialize(blocks.groupBy("block").agg(F.count(F.lit(1)).alias("size")), "sizes")
-    parts = blocks.join(sizes.filter(F.col("size") <= region), "block").select("block", "rep")
-    large = sizes.filter(F.col("size") > region)
+    blocks = materialize(components(likely).select("rep", F.col("component").alias("block")).join(classes.select("rep", F.col("n_shingles").alias("weight")), "rep"), "blocks")
+    sizes = materialize(blocks.groupBy("block").agg(F.count(F.lit(1)).alias("size"), F.sum("weight").alias("all")), "sizes")
+    fits = (F.col("size") <= BLOCK * region) & ((F.col("all") <= WEIGHT) | (F.col("size") == 2))
+    parts = blocks.join(sizes.filter(fits), "block").select("block", "rep")
+    large = sizes.filter(~fits)
     split = not large.isEmpty()
     if split:
         inside = blocks.join(large, "block").select("rep")
@@ -365,7 +439,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Blocks that were not split share no document: their links are their components already.
     labels = components(links) if split else links.select(F.col("b").alias("rep"), F.col("a").alias("component"))
     if split:
-        whole = blocks.join(large, "block").select(F.col("block").alias("key"), "rep")
+        whole = blocks.join(large, "block").select(F.col("block").alias("key"), "rep", "weight")
         across = crossed(with_own(whole, labels), region).join(texts, "rep").select("key", "rep", "own", "minor", "text")
         more = materialize(crossed_links(across, width, percent), "links")
         if not more.isEmpty():
