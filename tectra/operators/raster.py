@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,25 +17,58 @@ def along_row() -> WindowSpec:
     return W.partitionBy("image_id", "y").orderBy("x")
 
 
-def along_col() -> WindowSpec:
-    return W.partitionBy("image_id", "x").orderBy("y")
+def over_image() -> WindowSpec:
+    return W.partitionBy("image_id")
 
 
-def _outside(border: str, near: Column, far: Column, own: Column) -> Column:
-    """The neighbour, or what the border policy puts in its place."""
-    return {"zero": lambda: F.coalesce(near, F.lit(0)), "replicate": lambda: F.coalesce(near, own), "reflect": lambda: F.coalesce(near, far, own), "none": lambda: near}[border]()
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, also within a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def lines(px: DataFrame, along: str = "x") -> DataFrame:
+    """(image_id, y or x, cells): the pixels of each line in order, all their columns in a struct.
+
+    Pixels that are partitioned by image_id (as sources give them) are not shuffled."""
+    other = "y" if along == "x" else "x"
+    rest = [c for c in px.columns if c not in ("image_id", "y", "x")]
+    return px.groupBy("image_id", other).agg(F.sort_array(F.collect_list(F.struct(along, *rest))).alias("cells"))
 
 
 def neighbours(px: DataFrame, border: str = "reflect", value: str = "v") -> DataFrame:
-    """px with the eight neighbours and c, by one pass along rows and one along columns."""
-    v = F.col(value)
-    px = px.withColumns({"c": v, "w": _outside(border, F.lag(v).over(along_row()), F.lead(v).over(along_row()), v), "e": _outside(border, F.lead(v).over(along_row()), F.lag(v).over(along_row()), v)})
-    more = {}
-    for name, col in (("nw", "w"), ("n", "c"), ("ne", "e")):
-        more[name] = _outside(border, F.lag(col).over(along_col()), F.lead(col).over(along_col()), F.col(col))
-    for name, col in (("sw", "w"), ("s", "c"), ("se", "e")):
-        more[name] = _outside(border, F.lead(col).over(along_col()), F.lag(col).over(along_col()), F.col(col))
-    return px.withColumns(more)
+    """px with the eight neighbours and c.  Beyond the border they are 0 (zero), the border pixel
+    (replicate), the pixel on its other side (reflect) or null (none).
+
+    Lines of pixels are arrays: a step along a line shifts its array, a step across is the array of the
+    line before or after, so windows see one row a line."""
+    kind = px.schema[value].dataType
+    n = F.size("c")
+
+    def end(near: Column, far: Column) -> Column:
+        """What stands beside a line's end; near and far are places from 1."""
+        held = {"zero": F.array(F.lit(0).cast(kind)), "none": F.array(F.lit(None).cast(kind)), "replicate": F.slice("c", near, F.lit(1))}
+        return held[border] if border in held else F.slice("c", F.when(n > 1, far).otherwise(near), F.lit(1))
+
+    row = lines(px).withColumn("c", F.col("cells")[value])
+    row = row.withColumn("w", F.concat(end(F.lit(1), F.lit(2)), F.slice("c", F.lit(1), n - 1)))
+    row = row.withColumn("e", F.concat(F.slice("c", F.lit(2), n - 1), end(n, n - 1)))
+    across = over_image().orderBy("y")
+    outside = {"zero": F.lit(0).cast(kind), "none": F.lit(None).cast(kind)}
+
+    def beside(name: str, step, back) -> Column:
+        near = step(name).over(across)
+        if border in outside:
+            return F.coalesce(near, F.array_repeat(outside[border], n))
+        return F.coalesce(near, F.col(name)) if border == "replicate" else F.coalesce(near, back(name).over(across), F.col(name))
+
+    up = {"nw": "w", "n": "c", "ne": "e"}
+    down = {"sw": "w", "s": "c", "se": "e"}
+    more = {k: beside(v, F.lag, F.lead) for k, v in up.items()} | {k: beside(v, F.lead, F.lag) for k, v in down.items()}
+    # n is the number of columns until here; the neighbour n comes last under its own name.
+    row = row.withColumns({f"_{k}": v for k, v in more.items()})
+    zipped = F.arrays_zip("cells", "c", "w", "e", *(f"_{k}" for k in more))
+    flat = row.select("image_id", "y", F.inline(zipped))
+    return flat.select("image_id", "y", "cells.*", "c", "w", "e", *(F.col(f"_{k}").alias(k) for k in more)).select("image_id", "y", "x", *[c for c in px.columns if c not in ("image_id", "y", "x")], *NINE)
 
 
 def sobel(px: DataFrame) -> DataFrame:
@@ -45,38 +79,51 @@ def sobel(px: DataFrame) -> DataFrame:
     return n.select("image_id", "y", "x", "v", gx.alias("gx"), gy.alias("gy"))
 
 
-def _shifted(value: str, by: int, window: WindowSpec) -> Column:
-    return F.lead(value, by).over(window) if by > 0 else F.lag(value, -by).over(window)
+def weighted(px: DataFrame, weights: list[float], along: str, value: str, out: str, border: str) -> DataFrame:
+    """px with out, a one-dimensional pass of odd length over value, along x or y.
 
+    Beyond the ends of a line, reflect mirrors it without the edge pixel (again and again, if it is
+    short), replicate repeats the edge pixel."""
+    half = len(weights) // 2
+    row = lines(px, along)
+    values, n = F.col("cells")[value], F.size("cells")
 
-def weighted(px: DataFrame, weights: list[float], window: WindowSpec, value: str, out: str, border: str) -> DataFrame:
-    """px with out, a one-dimensional pass of odd length over value.
+    def place(j: Column) -> Column:
+        if border == "replicate":
+            return F.greatest(F.lit(0), F.least(j, n - 1))
+        turn = F.pmod(j, F.greatest(F.lit(1), 2 * (n - 1)))
+        return F.when(n == 1, 0).otherwise(F.least(turn, 2 * (n - 1) - turn))
 
-    Beyond the ends of a line, reflect mirrors it without the edge pixel, replicate repeats the edge
-    pixel.  A line too short to be mirrored gives the pixel's own value there."""
-    half = len(weights) // 2
-    whole = window.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    held = {f"_t{k}": _shifted(value, k, window) for k in range(-half, half + 1)}
-    if border == "reflect":
-        held |= {"_before": F.row_number().over(window) - 1, "_after": F.count(F.lit(1)).over(whole) - F.row_number().over(window)}
-    else:
-        held |= {"_first": F.first(value).over(whole), "_last": F.last(value).over(whole)}
-    taps = []
-    for k in range(-half, half + 1):
-        tap = F.col(f"_t{k}")
-        if k and border == "reflect":
-            side, sign = ("_before", 1) if k < 0 else ("_after", -1)
-            mirrored = [F.when(F.col(side) == p, F.col(f"_t{sign * (abs(k) - 2 * p)}")) for p in range(abs(k))]
-            tap = F.coalesce(tap, *mirrored, F.col(value))
-        elif k:
-            tap = F.coalesce(tap, F.col("_first" if k < 0 else "_last"))
-        taps.append(F.lit(weights[k + half]) * tap)
-    return px.withColumns(held).withColumn(out, reduce(Column.__add__, taps)).drop(*held)
+    padded = F.transform(F.sequence(F.lit(-half), n - 1 + half), lambda j: F.get(values, place(j)))
+    taps = [(k, w) for k, w in enumerate(weights) if w]
+    passed = let(padded, lambda p: F.transform(F.sequence(F.lit(0), n - 1), lambda i: reduce(Column.__add__, [F.lit(float(w)) * F.get(p, i + k) for k, w in taps])))
+    other = "y" if along == "x" else "x"
+    flat = row.withColumn("passed", passed).select("image_id", other, F.inline(F.arrays_zip("cells", "passed")))
+    return flat.select("image_id", other, "cells.*", F.col("passed").alias(out)).select(*px.columns, out)
 
 
 def separable(px: DataFrame, across: list[float], down: list[float], out: str = "s", border: str = "reflect") -> DataFrame:
     """px with out: weights across along rows, then down along columns."""
-    return weighted(weighted(px, across, along_row(), "v", "_h", border), down, along_col(), "_h", out, border).drop("_h")
+    return weighted(weighted(px, across, "x", "v", "_h", border), down, "y", "_h", out, border).drop("_h")
+
+
+def binomial(size: int, slope: bool) -> list[float]:
+    """Weights of the smoothing (or first derivative) part of a Sobel operator of odd size."""
+    held = [1.0]
+    for step in [(1.0, 1.0)] * (size - 2 if slope else size - 1) + [(-1.0, 1.0)] * slope:
+        held = [a * step[0] + b * step[1] for a, b in zip([*held, 0.0], [0.0, *held], strict=True)]
+    return held[::-1] if not slope else held
+
+
+def sobel_of_size(px: DataFrame, size: int) -> DataFrame:
+    """px with gx and gy of the operator of any odd size; size 1 differs without smoothing."""
+    slope, smooth = binomial(max(size, 3), True), binomial(size, False)
+    return separable(separable(px, slope, smooth, "gx"), smooth, slope, "gy")
+
+
+def gaussian(sigma: float, radius: int) -> list[float]:
+    held = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-radius, radius + 1)]
+    return [w / sum(held) for w in held]
 
 
 def resize(px: DataFrame, height: int, width: int) -> DataFrame:
@@ -138,18 +185,25 @@ def fold_strokes(steps: DataFrame) -> DataFrame:
     return s.groupBy("owner", "stroke").agg(F.count(F.lit(1)).alias("points"), text.alias("path"))
 
 
+def histogram(px: DataFrame) -> DataFrame:
+    return px.groupBy("image_id", "v").agg(F.count(F.lit(1)).alias("n"))
+
+
 def histogram_otsu(px: DataFrame) -> DataFrame:
-    """image_id, threshold: the gray value with the largest between-class variance, lowest first.
+    """image_id, threshold: the gray value with the largest between-class variance, lowest first."""
+    return otsu_of(histogram(px)).select("image_id", "threshold")
+
 
-    The 256 rows of an image's histogram are all that the windows see."""
-    hist = px.groupBy("image_id", "v").agg(F.count(F.lit(1)).alias("n"))
-    up, all_ = W.partitionBy("image_id").orderBy("v"), W.partitionBy("image_id")
+def otsu_of(hist: DataFrame) -> DataFrame:
+    """image_id, threshold, above, pixels, of a histogram (image_id, v, n); above is the number of pixels
+    over the threshold.  The 256 rows of an image's histogram are all that the windows see."""
+    up, all_ = W.partitionBy("image_id").orderBy("v"), over_image()
     sums = hist.select("image_id", "v", F.sum("n").over(up).alias("w0"), F.sum(F.col("n") * F.col("v")).over(up).alias("s0"), F.sum("n").over(all_).alias("wt"), F.sum(F.col("n") * F.col("v")).over(all_).alias("st"))
     gap = F.col("s0") * F.col("wt") - F.col("st") * F.col("w0")
     rest = F.col("w0") * (F.col("wt") - F.col("w0"))
     between = F.when(rest > 0, gap.cast("double") * gap.cast("double") / rest.cast("double")).otherwise(0.0)
-    best = F.row_number().over(all_.orderBy(F.desc("between"), "v"))
-    return sums.withColumn("between", between).withColumn("k", best).filter("k = 1").select("image_id", F.col("v").alias("threshold"))
+    best = F.max(F.struct(between.alias("b"), (-F.col("v")).alias("v"), (F.col("wt") - F.col("w0")).alias("above"), F.col("wt").alias("pixels")))
+    return sums.groupBy("image_id").agg(best.alias("k")).select("image_id", (-F.col("k.v")).alias("threshold"), "k.above", "k.pixels")
 
 
 def canny_flags(px: DataFrame, low: int, high: int) -> DataFrame:
@@ -171,7 +225,7 @@ def crossings() -> Column:
     return reduce(Column.__add__, [F.abs(a - b) for a, b in zip(ring, ring[1:] + ring[:1], strict=True)])
 
 
-#: Weights of the 3x3 neighbourhood in a table's index, column by column.
+#: Weights of the 3x3 neighbourhood in a table's index, column by column.
 TABLE = {"nw": 256, "w": 128, "sw": 64, "n": 32, "c": 16, "s": 8, "ne": 4, "e": 2, "se": 1}
 
 

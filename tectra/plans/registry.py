@@ -4,7 +4,6 @@ Rasters are derived from embeddings, polylines from events (tectra.sources.raste
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import numpy as np
@@ -78,9 +77,8 @@ def cost_map(spark, sf):
 @plan(f"WITH {sql.U8}, c AS (SELECT *, CASE WHEN v <> 0 THEN 1 / (v + 1e-6::DOUBLE) ELSE 1.0::DOUBLE END AS k FROM u8) SELECT image_id, y, x, round(k / max(k) OVER (PARTITION BY image_id), 6) AS cost FROM c")
 def reciprocal_cost(spark, sf):
     k = F.when(F.col("v") != 0, 1 / (F.col("v") + F.lit(1e-6))).otherwise(1.0)
-    px = _u8(spark, sf).withColumn("k", k)
-    top = px.groupBy("image_id").agg(F.max("k").alias("top"))
-    return px.join(top, "image_id").select(*KEY, F.round(F.col("k") / F.col("top"), 6).alias("cost"))
+    px = _u8(spark, sf).withColumn("k", k).withColumn("top", F.max("k").over(ops.over_image()))
+    return px.select(*KEY, F.round(F.col("k") / F.col("top"), 6).alias("cost"))
 
 
 @plan(f"WITH {sql.U8}, b AS (SELECT *, lead(v, 1, v) OVER (PARTITION BY image_id, y ORDER BY x) AS o FROM u8) SELECT image_id, y, x, CAST(least(255, round_even(0.7::DOUBLE * v + 0.3::DOUBLE * o, 0)) AS INTEGER) AS v FROM b")
@@ -100,9 +98,9 @@ def gray_from_colour(spark, sf):
     SELECT image_id, y, x, CAST(floor(round((i * (1 - o) + o) * 255, 6)) AS INTEGER) AS r, CAST(floor(round(i * (1 - o) * 255, 6)) AS INTEGER) AS g FROM f""")
 def overlay_red(spark, sf):
     px = ops.sobel(_u8(spark, sf)).withColumn("o", F.abs("gx"))
-    top = px.groupBy("image_id").agg(F.max("v").alias("vm"), F.max("o").alias("om"))
+    px = px.withColumns({"vm": F.max("v").over(ops.over_image()), "om": F.max("o").over(ops.over_image())})
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    px = px.join(top, "image_id").select(*KEY, ratio("v", "vm").alias("i"), ratio("o", "om").alias("o"))
+    px = px.select(*KEY, ratio("v", "vm").alias("i"), ratio("o", "om").alias("o"))
     base = F.col("i") * (1 - F.col("o"))
     return px.select(*KEY, _int(F.round((base + F.col("o")) * 255, 6)).alias("r"), _int(F.round(base * 255, 6)).alias("g"))
 
@@ -133,8 +131,7 @@ def channel_histogram(spark, sf):
 
 @plan(f"WITH {sql.OTSU} SELECT o.image_id, threshold, count(*) FILTER (v > threshold) AS foreground, count(*) AS px FROM u8 JOIN otsu o USING (image_id) GROUP BY 1, 2")
 def otsu_threshold(spark, sf):
-    px = _u8(spark, sf)
-    return px.join(ops.histogram_otsu(px), "image_id").groupBy("image_id", "threshold").agg(F.sum((F.col("v") > F.col("threshold")).cast("long")).alias("foreground"), F.count(F.lit(1)).alias("px"))
+    return ops.otsu_of(ops.histogram(_u8(spark, sf))).select("image_id", "threshold", F.col("above").alias("foreground"), F.col("pixels").alias("px"))
 
 
 _MAG = ", mag AS (SELECT image_id, y, x, sqrt(CAST(gx * gx + gy * gy AS DOUBLE)) AS m FROM sob)"
@@ -145,9 +142,8 @@ def _magnitude(spark, sf):
 
 
 def _max_scaled(spark, sf):
-    g = _magnitude(spark, sf)
-    top = g.groupBy("image_id").agg(F.max("m").alias("top"))
-    return g.join(top, "image_id").select(*KEY, F.when(F.col("top") > 0, F.floor(F.round(F.col("m") * 255 / F.col("top"), 6))).otherwise(0).cast("int").alias("v"))
+    g = _magnitude(spark, sf).withColumn("top", F.max("m").over(ops.over_image()))
+    return g.select(*KEY, F.when(F.col("top") > 0, F.floor(F.round(F.col("m") * 255 / F.col("top"), 6))).otherwise(0).cast("int").alias("v"))
 
 
 _SCALED = sql.SOBEL + _MAG + ", u8b AS (SELECT image_id, y, x, CAST(CASE WHEN top > 0 THEN floor(round(m * 255 / top, 6)) ELSE 0 END AS INTEGER) AS v FROM (SELECT *, max(m) OVER (PARTITION BY image_id) AS top FROM mag))"
@@ -211,10 +207,7 @@ def sobel_gradients(spark, sf):
 
 @plan(f"WITH {sql.SOBEL}{_MAG}, s AS (SELECT *, min(m) OVER (PARTITION BY image_id) AS lo, max(m) OVER (PARTITION BY image_id) AS hi FROM mag) SELECT image_id, y, x, CAST(CASE WHEN hi > lo THEN floor(round((m - lo) * 255 / (hi - lo), 6) + 0.5) ELSE 0 END AS INTEGER) AS v FROM s")
 def sobel_mag_l2(spark, sf):
-    g = _magnitude(spark, sf)
-    span = g.groupBy("image_id").agg(F.min("m").alias("lo"), F.max("m").alias("hi"))
-    scaled = F.floor(F.round((F.col("m") - F.col("lo")) * 255 / (F.col("hi") - F.col("lo")), 6) + 0.5)
-    return g.join(span, "image_id").select(*KEY, F.when(F.col("hi") > F.col("lo"), scaled).otherwise(0).cast("int").alias("v"))
+    return src.scaled(_magnitude(spark, sf), "m").select(*KEY, "v")
 
 
 @plan(f"WITH {_SCALED} SELECT image_id, y, x, v FROM u8b")
@@ -228,10 +221,7 @@ def sobel_mag_abs(spark, sf):
     return ops.sobel(_u8(spark, sf)).select(*KEY, F.least(F.lit(255.0), F.rint(F.lit(0.5) * sat("gx") + F.lit(0.5) * sat("gy"))).cast("int").alias("v"))
 
 
-_G7 = [math.exp(-(k * k) / 8.0) for k in range(-3, 4)]
-_G7 = [w / sum(_G7) for w in _G7]
-_G11 = [math.exp(-(k * k) / 8.0) for k in range(-5, 6)]
-_G11 = [w / sum(_G11) for w in _G11]
+_G7, _G11 = ops.gaussian(2.0, 3), ops.gaussian(2.0, 5)
 
 
 def _place(at, last, border):
@@ -263,13 +253,12 @@ def adaptive_threshold(spark, sf):
     return ops.separable(_u8(spark, sf), _G11, _G11, border="replicate").select(*KEY, F.when(F.col("v") > F.round("s", 6) - 2, 255).otherwise(0).alias("v"))
 
 
-_SMOOTH5, _SLOPE5 = [1.0, 4.0, 6.0, 4.0, 1.0], [-1.0, -2.0, 0.0, 2.0, 1.0]
+_SMOOTH5, _SLOPE5 = ops.binomial(5, False), ops.binomial(5, True)
 
 
 @plan(f"WITH {sql.U8}, {_separable_sql('a', _SLOPE5, _SMOOTH5)}, {_separable_sql('b', _SMOOTH5, _SLOPE5)} SELECT image_id, y, x, a.s AS gx, b.s AS gy FROM a JOIN b USING (image_id, y, x)")
 def sobel_k5(spark, sf):
-    both = ops.separable(ops.separable(_u8(spark, sf), _SLOPE5, _SMOOTH5, "gx"), _SMOOTH5, _SLOPE5, "gy")
-    return both.select(*KEY, "gx", "gy")
+    return ops.sobel_of_size(_u8(spark, sf), 5).select(*KEY, "gx", "gy")
 
 
 def _resize_sql(height, width):
@@ -379,8 +368,8 @@ def threshold_sweep(spark, sf):
 
 @plan(f"WITH {_SCALED_OTSU} SELECT p.image_id, threshold, count(*) FILTER (v > threshold) AS edge_px, count(*) AS px FROM u8b p JOIN otsu USING (image_id) GROUP BY 1, 2")
 def edge_density(spark, sf):
-    scaled = _max_scaled(spark, sf)
-    return scaled.join(ops.histogram_otsu(scaled), "image_id").groupBy("image_id", "threshold").agg(F.sum((F.col("v") > F.col("threshold")).cast("long")).alias("edge_px"), F.count(F.lit(1)).alias("px"))
+    found = ops.otsu_of(ops.histogram(_max_scaled(spark, sf)))
+    return found.select("image_id", "threshold", F.col("above").alias("edge_px"), F.col("pixels").alias("px"))
 
 
 # -- edge lists and lines

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -11,16 +12,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of 64 floats as rows of 64x64 images (the last may have fewer rows)."""
-    rows = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 64").alias("image_id"), (F.col("vec_id") % 64).cast("int").alias("y"), F.posexplode("embedding").alias("x", "v"))
-    return rows.withColumn("v", F.col("v").cast("double"))
+    """Vectors of 64 floats as rows of 64x64 images (the last may have fewer rows), partitioned by image:
+    rows are dealt out before they become pixels, and no operator on whole images deals them again."""
+    rows = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 64").alias("image_id"), (F.col("vec_id") % 64).cast("int").alias("y"), "embedding")
+    return rows.repartition("image_id").select("image_id", "y", F.posexplode("embedding").alias("x", "v")).withColumn("v", F.col("v").cast("double"))
+
+
+def scaled(px: DataFrame, value: str = "v") -> DataFrame:
+    """px with v, value min-max normalised to 0..255 within its image, half up; a constant image is 0."""
+    image = W.partitionBy("image_id")
+    lo, hi = F.min(value).over(image), F.max(value).over(image)
+    spread = F.floor(F.round((F.col(value) - F.col("_lo")) * 255 / (F.col("_hi") - F.col("_lo")), 6) + 0.5)
+    px = px.withColumns({"_lo": lo, "_hi": hi})
+    return px.withColumn("v", F.when(F.col("_hi") > F.col("_lo"), spread).otherwise(0).cast("int")).drop("_lo", "_hi")
 
 
 def u8(px: DataFrame) -> DataFrame:
     """Min-max normalised to 0..255, half up; a constant image becomes 0."""
-    span = px.groupBy("image_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    scaled = F.floor((F.col("v") - F.col("lo")) * 255 / (F.col("hi") - F.col("lo")) + 0.5)
-    return px.join(span, "image_id").select("image_id", "y", "x", F.when(F.col("hi") > F.col("lo"), scaled).otherwise(0).cast("int").alias("v"))
+    image = W.partitionBy("image_id")
+    px = px.withColumns({"lo": F.min("v").over(image), "hi": F.max("v").over(image)})
+    spread = F.floor((F.col("v") - F.col("lo")) * 255 / (F.col("hi") - F.col("lo")) + 0.5)
+    return px.select("image_id", "y", "x", F.when(F.col("hi") > F.col("lo"), spread).otherwise(0).cast("int").alias("v"))
 
 
 def images(spark: SparkSession, path: str, pattern: str = "*.png") -> DataFrame:
