@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import heapq
+import os
 from collections import defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Row-major order of the eight neighbours; every walk and tie follows it.
 AROUND = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
@@ -19,8 +20,17 @@ def grid(pdf: pd.DataFrame, value: str = "v", fill: float = 0) -> np.ndarray:
     return out
 
 
+def reachable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver found it."""
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if top not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(x for x in (top, env.get("PYTHONPATH", "")) if x)
+
+
 def per_image(px: DataFrame, work, schema: str) -> DataFrame:
     """work(image_id, pdf) -> rows, for every image."""
+    reachable(px.sparkSession)
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(key, pdf):

@@ -1,5 +1,4 @@
-"""Registered queries and oracles outside the corpus operators."""
+"""All registered plans and their oracles; importing the plan modules registers them."""
 
-from tectra.plans.registry import ORACLES, QUERIES
-
-__all__ = ["ORACLES", "QUERIES"]
+from tectra.plans import filters, thinning  # noqa: F401
+from tectra.plans.registry import ORACLES, QUERIES  # noqa: F401
