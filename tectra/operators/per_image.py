@@ -308,32 +308,3 @@ def shortest(cost: np.ndarray, start, goal, cap: int = 1000) -> list[tuple[int,
                     best[q], back[q] = g, p
                     heapq.heappush(heap, (g + float(np.hypot(q[0] - goal[0], q[1] - goal[1])), q))
     return None
-
-
-def shearlets(h: int, w: int, scales: int = 4, directions: int = 8) -> np.ndarray:
-    """One-sided directional band-pass filters in frequency, (scale, direction, h, w): a Mexican-hat
-    profile along the direction times a Gaussian across it, narrower across at finer scales."""
-    fy, fx = np.meshgrid(np.fft.fftfreq(h), np.fft.fftfreq(w), indexing="ij")
-    bank = np.zeros((scales, directions, h, w))
-    for s in range(scales):
-        size = 2.0 * 2 ** (s / 1.5)
-        for d in range(directions):
-            angle = np.pi * d / directions
-            along = (fx * np.cos(angle) + fy * np.sin(angle)) * size * 2 * np.pi
-            across = (-fx * np.sin(angle) + fy * np.cos(angle)) * size**0.8 * 2 * np.pi
-            bank[s, d] = (along > 0) * along**2 * np.exp(-(along**2) / 2 - across**2)
-            bank[s, d] /= max(np.abs(bank[s, d]).sum() / (h * w), 1e-12)
-    return bank
-
-
-def shearlet_edges(v: np.ndarray, contrast: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
-    """Edge measure in 0..1 and direction in degrees: across scales the odd part must agree and the
-    even part vanish, after the complex-shearlet edge measure of Reisenhofer, Kiefer and King."""
-    f, bank = np.fft.fft2(v), shearlets(*v.shape)
-    found = [[np.fft.ifft2(f * b) for b in row] for row in bank]
-    odd, even = np.abs(np.imag(found)), np.abs(np.real(found))
-    pivot = odd.max(axis=(0, 1))
-    which = odd.max(axis=0).argmax(axis=0)
-    o, e = np.take_along_axis(odd, which[None, None], axis=1)[:, 0], np.take_along_axis(even, which[None, None], axis=1)[:, 0]
-    score = (np.minimum(o, pivot) - e - contrast).sum(axis=0) / (len(bank) * np.maximum(pivot, 1e-12))
-    return np.clip(score, 0, 1), which * 180.0 / bank.shape[1]

@@ -173,16 +173,6 @@ def precision_recall(spark, sf):
     return _judged(found, _u8(spark, sf).select(*KEY, (F.col("v") > 128).cast("int").alias("t")))
 
 
-@plan(f"""WITH RECURSIVE {sql.canny(50, 150)}, grow AS (SELECT image_id, y, x FROM flags WHERE flag = 2 UNION SELECT f.image_id, f.y, f.x FROM grow g JOIN flags f ON f.image_id = g.image_id AND abs(f.y - g.y) <= 1 AND abs(f.x - g.x) <= 1),
-    j AS (SELECT u8.image_id, CASE WHEN g.x IS NULL THEN 0 ELSE 1 END AS hit, CASE WHEN u8.v > 128 THEN 1 ELSE 0 END AS t FROM u8 LEFT JOIN grow g ON g.image_id = u8.image_id AND g.y = u8.y AND g.x = u8.x),
-    k AS (SELECT image_id, {_RATES} FROM j GROUP BY 1) SELECT 'canny' AS filter, *, {_JUDGED} FROM k""")
-def filter_comparison(spark, sf):
-    hits = canny_edges(spark, sf).withColumn("one", F.lit(1))
-    px = _u8(spark, sf)
-    found = px.join(hits, KEY, "left").select(*KEY, F.coalesce("one", F.lit(0)).alias("hit"))
-    return _judged(found, px.select(*KEY, (F.col("v") > 128).cast("int").alias("t"))).select(F.lit("canny").alias("filter"), "*")
-
-
 @plan(f"WITH {sql.SOBEL}{_MAG}, cut AS (SELECT image_id, quantile_cont(m, 0.9) AS q FROM mag GROUP BY 1) SELECT image_id, round(any_value(q), 4) AS cut, count(*) FILTER (m > q) AS kept FROM mag JOIN cut USING (image_id) GROUP BY 1")
 def percentile_cut(spark, sf):
     g = _magnitude(spark, sf)
@@ -562,15 +552,6 @@ def fft_magnitude(spark, sf):
     return one.per_image(_u8(spark, sf), lambda i, p: _cells(i, np.log(np.abs(np.fft.fftshift(np.fft.fft2(one.grid(p)))) + 1)), "image_id long, y int, x int, v double")
 
 
-@plan()
-def shearlet_edges(spark, sf):
-    def work(image_id, pdf):
-        score, angle = one.shearlet_edges(one.grid(pdf))
-        return [(image_id, y, x, float(round(score[y, x], 6)), float(angle[y, x])) for y, x in np.argwhere(score > 0).tolist()]
-
-    return one.per_image(_u8(spark, sf), work, "image_id long, y int, x int, score double, angle double")
-
-
 @plan(f"""WITH RECURSIVE {sql.BIN}, on_ AS (SELECT image_id, y, x FROM bin WHERE v = 1), reach AS (SELECT image_id, y, x, y AS y0, x AS x0 FROM on_ UNION SELECT o.image_id, o.y, o.x, r.y0, r.x0 FROM reach r JOIN on_ o ON o.image_id = r.image_id AND abs(o.y - r.y) <= 1 AND abs(o.x - r.x) <= 1 AND (r.y0, r.x0) <= (o.y, o.x))
     SELECT image_id, y, x, min(y0 * 64 + x0) AS label FROM reach GROUP BY 1, 2, 3""")
 def components(spark, sf):

@@ -93,12 +93,12 @@ def medial(source: str, name: str) -> str:
             (WITH now AS (SELECT image_id, y, x, v, d FROM peel WHERE EXISTS (SELECT 1 FROM peel WHERE v = 1)), {nine("now", "p9", "zero")}
              SELECT image_id, y, x, CASE WHEN c = 1 AND {RING} = 8 THEN 1 ELSE 0 END AS v, d + 1 AS d FROM p9)),
         far AS (SELECT image_id, y, x, CAST(sum(v) AS INTEGER) AS d FROM peel GROUP BY ALL),
-        size AS (SELECT image_id, max(x) + 3 AS w, max(y) + 3 AS h FROM {source} GROUP BY 1),
-        visit AS MATERIALIZED (SELECT f.image_id, w, (y + 1) * w + x + 1 AS at, row_number() OVER (PARTITION BY f.image_id ORDER BY d, y, x) AS k FROM far f JOIN size z USING (image_id) WHERE d > 0),
-        start AS (SELECT z.image_id, CAST(string_agg(CAST(coalesce(p.v, 0) AS VARCHAR), '' ORDER BY t.i) AS BIT) AS b FROM size z, range(70 * 70) t(i) LEFT JOIN {source} p
+        frame AS (SELECT image_id, max(x) + 3 AS w, max(y) + 3 AS h FROM {source} GROUP BY 1),
+        visit AS MATERIALIZED (SELECT f.image_id, w, (y + 1) * w + x + 1 AS at, row_number() OVER (PARTITION BY f.image_id ORDER BY d, y, x) AS k FROM far f JOIN frame z USING (image_id) WHERE d > 0),
+        start AS (SELECT z.image_id, CAST(string_agg(CAST(coalesce(p.v, 0) AS VARCHAR), '' ORDER BY t.i) AS BIT) AS b FROM frame z, range(70 * 70) t(i) LEFT JOIN {source} p
             ON p.image_id = z.image_id AND p.y = t.i // z.w - 1 AND p.x = t.i % z.w - 1 WHERE t.i < z.w * z.h GROUP BY 1),
         walk AS (SELECT image_id, b, CAST(0 AS BIGINT) AS k FROM start UNION ALL
             SELECT s.image_id, CASE WHEN {turns} = 1 AND {" + ".join(ring.values())} >= 2 THEN set_bit(s.b, CAST(o.at AS INTEGER), 0) ELSE s.b END, o.k
             FROM walk s JOIN visit o ON o.image_id = s.image_id AND o.k = s.k + 1),
-        {name} AS (SELECT p.image_id, p.y, p.x, get_bit(s.b, CAST((p.y + 1) * z.w + p.x + 1 AS INTEGER)) AS v FROM {source} p JOIN size z USING (image_id)
+        {name} AS (SELECT p.image_id, p.y, p.x, get_bit(s.b, CAST((p.y + 1) * z.w + p.x + 1 AS INTEGER)) AS v FROM {source} p JOIN frame z USING (image_id)
             JOIN (SELECT image_id, arg_max(b, k) AS b FROM walk GROUP BY 1) s USING (image_id))"""

@@ -8,6 +8,8 @@ import pytest
 
 from tectra.operators import per_image as one
 from tectra.operators import raster as ops
+from tectra.operators import shearlets
+from tectra.operators import thinning as thins
 from tectra.sinks import files
 from tectra.sources import rasters as src
 
@@ -91,12 +93,38 @@ def test_shortest_goes_round_a_wall():
 
 
 def test_shearlet_edges_find_a_step():
-    v = np.zeros((32, 32))
-    v[:, 16:] = 255
-    score, angle = one.shearlet_edges(v)
-    near, far = score[8:24, 15:17].max(), score[8:24, 4:9].max()
-    assert near > 0.3 and far < 0.1
-    assert angle[16, 16] in (0.0, 180.0)
+    v = np.zeros((64, 64))
+    v[:, 32:] = 255
+    for image, want in ((v, 180.0), (v.T, 90.0)):
+        score, turn = shearlets.edges(image)
+        at = np.argwhere(score[16:48, 16:48] > 0.5)
+        assert len(at) == 32 and len(set(at[:, 1 if want == 180 else 0].tolist())) == 1
+        assert set(shearlets.degrees(turn)[16:48, 16:48][score[16:48, 16:48] > 0.5].round(6)) == {want}
+
+
+def test_shears_of_all_levels():
+    assert shearlets.cones(3) == ([0, 1, 2, 2, 1, 0, -1, -2, -2, -1], [3, 4, 5, 6, 7])
+    assert shearlets.cones(2) == ([0, 1, 1, 0, -1, -1], [2, 3, 4])
+    assert [len(shearlets.cones(k)[0]) for k in (2, 3, 4, 5)] == [6, 10, 18, 34]
+
+
+def test_full_circle_has_opposite_directions():
+    v = np.random.default_rng(1).random((16, 12)) * 255
+    c = shearlets.full_circle(shearlets.transform(v, shearlets.edge_system(16, 12)))
+    assert c.shape == (7, 20, 16, 12)
+    assert np.allclose(np.sort(np.abs(c[:, :10]).ravel()), np.sort(np.abs(c[:, 10:]).ravel()))
+    with pytest.raises(ValueError):
+        shearlets.edges(v, mode="middle")
+
+
+def test_medial_axis_and_thinning_keep_figures_whole():
+    thick = np.zeros((14, 22), bool)
+    thick[2:12, 2:20] = True
+    thick[5:9, 8:12] = False
+    for thin in (thins.thin(thick), thins.medial_axis(thick), one.skeleton(thick)):
+        assert 0 < thin.sum() < thick.sum() / 2 and not (thin & ~thick).any()
+        assert len(np.unique(one.components(thin)[thin])) == 1
+        assert len(np.unique(one.components(~thin, [(-1, 0), (0, -1), (0, 1), (1, 0)])[~thin])) == 2
 
 
 def _pixels(spark, a, image_id=1):
