@@ -74,22 +74,19 @@ class Traced:
     starts: list[int]
     ends: list[int]
 
-    def rewrite(self, pattern: re.Pattern, change) -> Traced:
-        """Each match becomes change(match), a list of (string, start, end) in this text's places."""
+    def rewrite(self, changes) -> Traced:
+        """changes: (start, end, put), put a list of (string, start, end) in this text's places."""
         pieces, starts, ends, at = [], [], [], 0
-        for m in pattern.finditer(self.text):
-            put = change(m)
-            if put is None:
-                continue
-            pieces.append(self.text[at : m.start()])
-            starts += self.starts[at : m.start()]
-            ends += self.ends[at : m.start()]
+        for start, end, put in changes:
+            pieces.append(self.text[at:start])
+            starts += self.starts[at:start]
+            ends += self.ends[at:start]
             for string, a, b in put:
                 pieces.append(string)
                 starts += [self.starts[a]] * len(string)
                 ends += [self.ends[b - 1]] * len(string)
-            at = m.end()
-        if not at and not pieces:
+            at = end
+        if not at:
             return self
         pieces.append(self.text[at:])
         return Traced("".join(pieces), starts + self.starts[at:], ends + self.ends[at:])
@@ -111,17 +108,13 @@ _OPEN, _SHUT = r"[\[({<]", r"[\])}>]"
 _AT_WORD, _DOT_WORD = r"(?:at|arroba)", r"(?:dot|punkt|punto|point)"
 _AT_SIGN = rf"\s*{_OPEN}\s*(?:{_AT_WORD}|@)\s*{_SHUT}\s*"
 _DOT_SIGN = rf"\s*{_OPEN}\s*(?:{_DOT_WORD}|\.)\s*{_SHUT}\s*"
-_LABEL = r"[A-Za-z0-9-]+"
-_NAME = rf"[A-Za-z0-9_%+-]+(?:(?:{_DOT_SIGN}|\.|\s+{_DOT_WORD}\s+)[A-Za-z0-9_%+-]+)*"
-# A bracketed at with dots of any form; a spelled or real at with disguised dots only; or a real at with
-# plain dots and then bracketed ones.
-_MAIL = re.compile(
-    rf"(?<![A-Za-z0-9_%+.-])(?:{_NAME}{_AT_SIGN}{_LABEL}(?:(?:{_DOT_SIGN}|\.|\s+{_DOT_WORD}\s+){_LABEL})+|{_NAME}(?:\s+{_AT_WORD}\s+|\s*@\s*){_LABEL}(?:(?:{_DOT_SIGN}|\s+{_DOT_WORD}\s+){_LABEL})+|{_NAME}\s*@\s*{_LABEL}(?:\.{_LABEL})+(?:{_DOT_SIGN}{_LABEL}(?:\.{_LABEL})*)+)",
-    re.IGNORECASE,
-)
+_LABEL = re.compile(r"[A-Za-z0-9-]+")
+_JOIN = rf"(?P<at_b>{_AT_SIGN})|(?P<dot_b>{_DOT_SIGN})|(?P<at_w>\s+{_AT_WORD}\s+)|(?P<dot_w>\s+{_DOT_WORD}\s+)|(?P<at_r>\s*@\s*)|(?P<dot_r>\.)"
+_BARE = re.sub(r"\?P<\w+>", "?:", _JOIN)
+_JOINTS = re.compile(_JOIN, re.IGNORECASE)
+# Words with signs between them, as many as there are: each place of a text belongs to one such run at most.
+_CHAIN = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?:{_BARE})[A-Za-z0-9_%+-]+)+", re.IGNORECASE)
 _MAIL_SIGN = re.compile(rf"{_OPEN}\s*(?:{_AT_WORD}|{_DOT_WORD}|@|\.)\s*{_SHUT}|\s{_DOT_WORD}\s", re.IGNORECASE)
-_JOINT = re.compile(rf"(?P<at>{_AT_SIGN}|\s+{_AT_WORD}\s+|\s*@\s*)|(?P<dot>{_DOT_SIGN}|\s+{_DOT_WORD}\s+)", re.IGNORECASE)
-
 # Names of the digits.
 _DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _NAMED = "|".join(_DIGITS)
@@ -130,27 +123,70 @@ _SPELLED_SIGN = re.compile(rf"\b(?:{_NAMED})(?:[\s-]+(?:{_NAMED}|dot|point)\b){{
 _PART = re.compile(rf"{_NAMED}|plus|dot|point|[0-9]", re.IGNORECASE)
 
 
-def _look(m: re.Match) -> list:
-    c = m[0]
-    ascii_ = "" if c in _INVISIBLE else _LOOKS.get(c) or unicodedata.normalize("NFKC", c)
-    return [(ascii_, *m.span())]
-
-
-def _mail(m: re.Match) -> list:
-    put, at, base = [], 0, m.start()
-    for j in _JOINT.finditer(m[0]):
-        put += [(c, base + at + k, base + at + k + 1) for k, c in enumerate(m[0][at : j.start()])]
-        put.append(("@" if j["at"] else ".", base + j.start(), base + j.end()))
-        at = j.end()
-    return put + [(c, base + at + k, base + at + k + 1) for k, c in enumerate(m[0][at:])]
+def _looks(text: str):
+    for m in _STRANGE.finditer(text):
+        c = m[0]
+        yield m.start(), m.end(), [("" if c in _INVISIBLE else _LOOKS.get(c) or unicodedata.normalize("NFKC", c), *m.span())]
 
 
-def _spelled(m: re.Match) -> list | None:
-    words = list(_PART.finditer(m[0]))
-    if sum(w[0].lower() in _DIGITS for w in words) < 4:
-        return None
+def _mails(text: str):
+    """Disguised addresses: a bracketed at with dots of any form; a spelled or real at with disguised dots
+    only; or a real at with plain dots and then a bracketed one.  Each chain of words is walked once."""
+    for chain in _CHAIN.finditer(text):
+        signs = [(m.lastgroup, m.start(), m.end()) for m in _JOINTS.finditer(text, chain.start(), chain.end())]
+        free, first, i = chain.start(), 0, 0  # where the name of the next address may begin, and its first sign
+        while i < len(signs):
+            kind, at, after = signs[i]
+            if kind[0] == "d":
+                i += 1
+                continue
+            end, last = _domain(text, signs, i, chain.end())
+            if not end or free >= at:
+                i += 1
+                free, first = after, i
+                continue
+            put, here = [], free
+            for k, a, b in signs[first : last + 1]:
+                put += [(c, p, p + 1) for p, c in enumerate(text[here:a], here)]
+                put.append(("@" if k[0] == "a" else ".", a, b))
+                here = b
+            yield free, end, put + [(c, p, p + 1) for p, c in enumerate(text[here:end], here)]
+            i = last + 1
+            free = signs[i][2] if i < len(signs) else end
+            i += 1
+            first = i
+
+
+def _domain(text: str, signs: list, i: int, stop: int) -> tuple[int, int]:
+    """End of the domain after the at signs[i], and its last dot's number; (0, 0) if there is none."""
+    kind, _, here = signs[i]
+    end, last, seen = 0, i, []
+    while m := _LABEL.match(text, here, stop):
+        plain, brackets = "dot_r" in seen, "dot_b" in seen
+        if kind == "at_b":
+            fits = bool(seen)
+        elif kind == "at_w" or not plain:
+            fits = bool(seen) and not plain
+        else:
+            fits = brackets and seen[0] == "dot_r"
+        if fits:
+            end, last = m.end(), i + len(seen)
+        j = i + len(seen) + 1
+        if j >= len(signs) or signs[j][0][0] != "d" or signs[j][1] != m.end():
+            break
+        if kind == "at_w" and signs[j][0] == "dot_r" or kind == "at_r" and (signs[j][0] == "dot_w" if plain else signs[j][0] == "dot_r" and seen):
+            break
+        seen.append(signs[j][0])
+        here = signs[j][2]
+    return (end, last) if end else (0, 0)
+
+
+def _digits(text: str):
     value = _DIGITS | {"plus": "+", "dot": ".", "point": "."}
-    return [(value.get(w[0].lower(), w[0]), m.start() + w.start(), m.start() + w.end()) for w in words]
+    for m in _SPELLED.finditer(text):
+        words = list(_PART.finditer(m[0]))
+        if sum(w[0].lower() in _DIGITS for w in words) >= 4:
+            yield m.start(), m.end(), [(value.get(w[0].lower(), w[0]), m.start() + w.start(), m.start() + w.end()) for w in words]
 
 
 def disguised_spans(text: str) -> list[Span]:
@@ -160,11 +196,11 @@ def disguised_spans(text: str) -> list[Span]:
         return []
     traced = Traced(text, list(range(len(text))), list(range(1, len(text) + 1)))
     if strange:
-        traced = traced.rewrite(_STRANGE, _look)
+        traced = traced.rewrite(_looks(traced.text))
     if _SPELLED_SIGN.search(traced.text):
-        traced = traced.rewrite(_SPELLED, _spelled)
+        traced = traced.rewrite(_digits(traced.text))
     if _MAIL_SIGN.search(traced.text):
-        traced = traced.rewrite(_MAIL, _mail)
+        traced = traced.rewrite(_mails(traced.text))
     out = []
     for kind, a, b in plain_spans(traced.text):
         start, end = traced.starts[a], traced.ends[b - 1]
@@ -189,7 +225,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     plain spans), spans (all, as kind:start:end in code points), n_added.
 
     Null text counts as empty and has no spans; null or repeated doc_ids are ordinary rows; an empty
-    table gives an empty result; other columns are not read."""
+    table gives an empty result; time and memory are in proportion to a text's length, however long;
+    other columns, whatever their names, are not read."""
     prepare(docs.sparkSession)
 
     def run(batches):
