@@ -28,11 +28,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tectra.llm.common import drop_scratch, materialize, prepare, scratch_path
-from tectra.llm.tokens import encoder
+from tectra.llm.tokens import encoder, id_type
 
 MAX_LENGTH, BLOCK, SEGMENT = 16, 256, 1 << 16
 #: Ids of a part: at least this many, and so many more that parts stay below MAX_PARTS.
-PART, MAX_PARTS = 1 << 22, 20_000
+PART, MAX_PARTS = 1 << 24, 20_000
 _HEAD = struct.Struct("<4sIIQQ")
 _SEGMENTS = "part int, segment int, n_docs long, n_tokens long, payload binary"
 
@@ -188,14 +188,15 @@ def tokenized(docs: DataFrame, end_id: int, tokenizer_path: str | None) -> DataF
 
 def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = 0, tokenizer_path: str | None = None) -> str:
     """Writes all documents' ids to path (a folder of the shared store), in ascending doc_id, null
-    ids last, ties in any order; gives the path.  It holds tables segments and book."""
+    ids last, rows of one id by the hash of their ids; gives the path.  It holds tables segments and book."""
     spark = docs.sparkSession
     prepare(spark)
     path = path or scratch_path(spark, "tokens")
+    dtype = id_type(tokenizer_path)
     ids = materialize(tokenized(docs, end_id, tokenizer_path), "ids")
 
     def count(batches):
-        dtype, total = encoder(tokenizer_path).dtype, np.zeros(0, np.int64)
+        total = np.zeros(0, np.int64)
         for batch in batches:
             seen = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype))
             if len(seen) > len(total):
@@ -217,7 +218,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = 0,
     parts = max(1, min(MAX_PARTS, -(-total // PART)))
 
     def encode(batches):
-        held, dtype = Code(code.value), encoder(tokenizer_path).dtype
+        held = Code(code.value)
         part = TaskContext.get().partitionId()
         doc_ids, parts_, size, start, number = [], [], 0, 0, 0
 
@@ -237,8 +238,8 @@ def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = 0,
         if doc_ids:
             yield segment()
 
-    # Null ids go last: a range over (is null, id).
-    order = [F.col("doc_id").isNull(), F.col("doc_id")]
+    # Null ids go last: a range over (is null, id); many rows of one id are parted by their hashes.
+    order = [F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("ids")]
     sorted_ = ids.select("doc_id", "ids").repartitionByRange(parts, *order).sortWithinPartitions(*order)
     sorted_.mapInArrow(encode, _SEGMENTS).write.options(compression="uncompressed").parquet(f"{path}/segments")
     drop_scratch(ids)
@@ -289,6 +290,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
 def token_round_trip(docs: DataFrame, **options) -> DataFrame:
     """Writes the token files of docs and reads them back.  Null text is encoded as empty (the end
     id alone); an empty table gives empty files and an empty result; rows that repeat a doc_id are
-    all written, next to each other; other columns are not read."""
+    all written, next to each other; null doc_ids come last; a very long text is one document of its
+    segment, whatever its length; other columns, whatever their names, are not read."""
     spark = docs.sparkSession
     return read_token_files(spark, write_token_files(docs, **options))

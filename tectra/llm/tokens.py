@@ -14,8 +14,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Words that a worker keeps, about 40 bytes each.
-CACHE = 3_000_000
+#: Words that a worker keeps, about 40 bytes each; bytes of text whose words are hashed at once.
+CACHE, CHUNK = 1_500_000, 1 << 22
 #: Bytes of the longest word that is hashed.
 LONGEST = 4096
 _LONE = b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
@@ -45,6 +45,16 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def id_type(path: str | None) -> str:
+    """The type that holds every id of a vocabulary file, without loading its tokenizer."""
+    with open(path or default_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    added = [t["id"] for t in spec.get("added_tokens", [])]
+    vocabulary = spec["model"]["vocab"]
+    ids = vocabulary.values() if isinstance(vocabulary, dict) else [len(vocabulary)]
+    return "<u2" if max([*ids, *added], default=0) < 1 << 16 else "<u4"
+
+
 def _hashes(joined: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ends and hashes of the words that begin at the places at."""
     raw = np.frombuffer(joined, np.uint8)
@@ -61,8 +71,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.dtype = np.dtype(id_type(path))
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -158,9 +167,15 @@ class Encoder:
                 else:
                     words.append(i)
                     datas.append(data)
-        if words:
-            for i, ids in zip(words, self._by_word(datas), strict=True):
+        low = 0
+        while low < len(words):  # whole texts, CHUNK bytes of them at a time
+            high, held = low, 0
+            while high < len(words) and (high == low or held + len(datas[high]) <= CHUNK):
+                held += len(datas[high])
+                high += 1
+            for i, ids in zip(words[low:high], self._by_word(datas[low:high]), strict=True):
                 out[i] = ids
+            low = high
         for i, ids in zip(whole, self._plain([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
