@@ -8,6 +8,7 @@ weights end at zero; the others are the model, which is broadcast (at most 2**BI
 from __future__ import annotations
 
 import re
+import tempfile
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,8 @@ from tectra.llm.common import materialize, prepare
 BITS = 20
 #: Labelled rows the fit uses, at most (those with the smallest hashes); passes over them.
 MAX_TRAIN, EPOCHS = 24_000, 2
+#: Bytes of features that the fit keeps in memory between passes.
+HELD = 1 << 28
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -63,7 +66,7 @@ class FTRL:
         return np.where(np.abs(z) <= l1, 0.0, w)
 
     def learn(self, at: np.ndarray, label: int) -> None:
-        at = np.append(np.unique(at), 1 << BITS)  # the last place is the bias
+        at = np.append(at, 1 << BITS)  # distinct places; the last one is the bias
         w = self.weights(at)
         g = (1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35))) - label) * (self.positive if label else 1.0)
         rate = (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / self.alpha
@@ -76,47 +79,72 @@ def in_fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
 
 
-def train(labelled: DataFrame, max_train: int = MAX_TRAIN, epochs: int = EPOCHS) -> pd.DataFrame:
-    """labelled has doc_id, text, label (0 or 1).  Gives the model's non-zero weights: place, weight.
-    No labelled rows give no weights."""
-    n = labelled.count()
-    dealt = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1 << 30))
-    some = labelled if n <= max_train else labelled.filter(dealt < int((1 << 30) * max_train / n))
-    rows = some.select("text", "label", F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch"), F.xxhash64("doc_id", F.lit(7)).alias("o"))
-    rows = rows.select("epoch", F.xxhash64("o", "epoch").alias("o"), "text", "label")
+class Held:
+    """Rows of features for further passes: up to HELD bytes in memory, the rest in an unlinked file."""
+
+    def __init__(self):
+        self.rows, self.size, self.file = [], 0, None
+
+    def add(self, at: np.ndarray, label: int) -> None:
+        self.size += 4 * len(at)
+        if self.size <= HELD:
+            self.rows.append((at.astype(np.int32), label))
+            return
+        self.file = self.file or tempfile.TemporaryFile()
+        np.save(self.file, np.append(at, label).astype(np.int32))
+
+    def __iter__(self):
+        yield from self.rows
+        if self.file:
+            end = self.file.seek(0, 2)
+            self.file.seek(0)
+            while self.file.tell() < end:
+                row = np.load(self.file)
+                yield row[:-1], int(row[-1])
+
+
+def train(labelled: DataFrame, epochs: int = EPOCHS) -> pd.DataFrame:
+    """labelled has doc_id, text, label (0 or 1), a bounded sample.  Gives the model's non-zero weights:
+    place, weight.  No labelled rows give no weights."""
+    rows = labelled.select(F.xxhash64("doc_id", F.lit(7)).alias("o"), "text", "label")
 
     def fit(batches):
-        model = FTRL()
+        model, held = FTRL(), Held()
         for batch in batches:
-            for text, label in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                model.learn(features(text), label)
-        every = np.arange((1 << BITS) + 1)
-        w = model.weights(every)
+            for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                at = np.unique(features(text))
+                model.learn(at, label)
+                if epochs > 1:
+                    held.add(at, label)
+        for _ in range(1, epochs):
+            for at, label in held:
+                model.learn(at.astype(np.int64), label)
+        w = model.weights(np.arange((1 << BITS) + 1))
         some = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(w[some])], ["place", "weight"])
 
-    # One stream in a fixed order: the sample is bounded by max_train, batches by their rows.
-    return rows.repartition(1).sortWithinPartitions("epoch", "o").mapInArrow(fit, "place long, weight double").toPandas()
+    # One stream in a fixed order; texts move once.
+    return rows.repartition(1).sortWithinPartitions("o").mapInArrow(fit, "place long, weight double").toPandas()
 
 
-def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN, epochs: int = EPOCHS) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs.  Only rows outside the held-out fold
     with a non-null label teach; of a repeated label the largest counts.  Null and empty texts get
     the bias alone; null doc_ids count as outside the fold (held_out false) and teach nothing; an
-    empty table gives an empty result; without labels every score is 0.5.  Other columns are not
-    read."""
+    empty table gives an empty result; without labels every score is 0.5.  Rows that repeat a doc_id are
+    scored one by one, and all teach if it has a label.  Texts of any length are read whole.  Other
+    columns, whatever their names, are not read."""
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("label"))
     known = known.filter(~in_fold(F.col("doc_id")))
-    n = known.count()
-    most = options.get("max_train", MAX_TRAIN)
-    if n > most:  # before the join, so that only the sample's texts move
-        known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int((1 << 30) * most / n))
+    # At most max_train rows, those with the smallest hashes: two numbers each, so one task may pick them.
+    # Before the join, so that only the sample's texts move.
+    known = known.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(max_train)
     known = materialize(known, "labels")
     sample = materialize(rows.filter(may_hold(known.select("doc_id"), F.col("doc_id"))).join(known, "doc_id"), "labelled")
-    model = train(sample, **options)
+    model = train(sample, epochs)
     dense = np.zeros((1 << BITS) + 1, np.float32)
     dense[model["place"].to_numpy(np.int64)] = model["weight"]
     weights = spark.sparkContext.broadcast(dense)
