@@ -5,14 +5,14 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
+import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (local runs, tests).
-LOCAL_ROOT = "/tmp/checkpoints"
 #: A run of ASCII white space, and a word, as the contracts write them.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,14 +20,19 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or LOCAL_ROOT if unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Only where all run in one
+    process (local masters) an unset one is replaced, by a folder of the machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return (root or LOCAL_ROOT).rstrip("/")
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("on a cluster spark.checkpoint.dir has to name a folder that all executors share")
+        root = os.path.join(tempfile.gettempdir(), "checkpoints")
+    return root.rstrip("/")
 
 
 def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver found it, and bounds the bytes
-    that one Arrow batch brings to a worker."""
+    """Lets Python workers import this package from where the driver found it, and bounds the rows of an
+    Arrow batch, so that long texts don't add up.  The setting stays in the session: plans run later."""
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if top not in env.get("PYTHONPATH", "").split(":"):

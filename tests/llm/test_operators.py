@@ -3,6 +3,7 @@
 import hashlib
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -396,6 +397,22 @@ def test_toxicity_of_odd_rows(spark, odd, empty):
     assert all(r.score == 0.5 for r in toxicity.scored(odd, labels.limit(0)).collect())
 
 
+def test_toxicity_fits_on_the_bound_at_most(spark):
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('word', id % 7, ' text') AS text")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 7 = 0 AS INT) AS toxic")
+    few = toxicity.scored(docs, labels, max_train=30).collect()
+    assert len(few) == 400 and 0 < min(r.score for r in few)
+    held = toxicity.Held()
+    rows = [(np.arange(i, i + 5), i % 2) for i in range(20)]
+    limit, toxicity.HELD = toxicity.HELD, 100
+    try:
+        for at, label in rows:
+            held.add(at, label)
+        assert [(a.tolist(), b) for a, b in held] == [(a.tolist(), b) for a, b in rows] and held.file
+    finally:
+        toxicity.HELD = limit
+
+
 # -- 6, near duplicates
 
 
@@ -611,6 +628,16 @@ def test_no_disguise(text):
     assert pii.disguised_spans(text) == []
 
 
+def test_long_texts_take_time_in_proportion():
+    for piece in ("a dot ", "one two ", "a at b dot ", "1 ", "x@", "( at ) ", "a.b ", "plus one "):
+        took = []
+        for n in (20_000, 80_000):
+            began = time.perf_counter()
+            pii.all_spans(piece * n)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 10 * took[0] + 0.2, (piece, took)
+
+
 # -- 9, packing
 
 
