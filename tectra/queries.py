@@ -1,4 +1,4 @@
 """All registered plans and their oracles; importing the plan modules registers them."""
 
-from tectra.plans import filters, spectral, thinning  # noqa: F401
+from tectra.plans import filters, spectral, thinning, vectors  # noqa: F401
 from tectra.plans.registry import ORACLES, QUERIES  # noqa: F401
