@@ -274,8 +274,8 @@ def edge_links(edges: DataFrame) -> DataFrame:
     return a.join(b, same & other).select(F.col("a.edge_id").alias("edge_a"), F.col("a.end").alias("end_a"), F.col("b.edge_id").alias("edge_b"), F.col("b.end").alias("end_b"))
 
 
-def ends(edges: DataFrame, cell: int = 24) -> DataFrame:
-    """First (0) and last (1) vertex of every edge, in cells of the given size."""
-    place = lambda p: [F.floor(p["r"] / cell).cast("int").alias("r"), F.floor(p["c"] / cell).cast("int").alias("c")]
+def ends(edges: DataFrame) -> DataFrame:
+    """First (0) and last (1) vertex of every edge."""
+    place = lambda p: [p["r"].alias("r"), p["c"].alias("c")]
     first = edges.select("edge_id", F.lit(0).alias("end"), *place(F.element_at("pts", 1)))
     return first.unionByName(edges.select("edge_id", F.lit(1).alias("end"), *place(F.element_at("pts", -1))))

@@ -382,18 +382,18 @@ def edge_lengths(spark, sf):
 
 @plan(f'WITH {sql.ENDS} SELECT a.edge_id AS edge_a, a."end" AS end_a, b.edge_id AS edge_b, b."end" AS end_b FROM ends a JOIN ends b ON a.r = b.r AND a.c = b.c AND (a.edge_id <> b.edge_id OR a."end" <> b."end")')
 def endpoint_adjacency(spark, sf):
-    return ops.edge_links(ops.ends(src.event_edges(spark, sf)))
+    return ops.edge_links(ops.ends(src.coarse_edges(spark, sf)))
 
 
 @plan(f'WITH {sql.ENDS}, d AS (SELECT r, c, count(*) AS n FROM ends GROUP BY 1, 2) SELECT e.edge_id, e."end", d.n - 1 AS degree FROM ends e JOIN d ON e.r = d.r AND e.c = d.c')
 def edge_degrees(spark, sf):
-    e = ops.ends(src.event_edges(spark, sf))
+    e = ops.ends(src.coarse_edges(spark, sf))
     return e.join(e.groupBy("r", "c").agg(F.count(F.lit(1)).alias("n")), ["r", "c"]).select("edge_id", "end", (F.col("n") - 1).alias("degree"))
 
 
 @plan(f'WITH {sql.ENDS}, d AS (SELECT r, c, count(*) AS n FROM ends GROUP BY 1, 2), k AS (SELECT e.edge_id, max(d.n) AS m FROM ends e JOIN d ON e.r = d.r AND e.c = d.c GROUP BY 1), z AS (SELECT edge_id, count(*) AS points FROM pt GROUP BY 1) SELECT z.edge_id, points FROM z JOIN k USING (edge_id) WHERE NOT (points < 60 AND m = 1)')
 def drop_isolated_short(spark, sf):
-    edges = src.event_edges(spark, sf)
+    edges = src.coarse_edges(spark, sf)
     e = ops.ends(edges)
     alone = e.join(e.groupBy("r", "c").agg(F.count(F.lit(1)).alias("n")), ["r", "c"]).groupBy("edge_id").agg(F.max("n").alias("m")).filter("m = 1")
     sizes = edges.select("edge_id", F.size("pts").cast("long").alias("points"))
@@ -588,48 +588,6 @@ def edge_clean(spark, sf):
     return one.per_image(_bin(spark, sf), work, _EDGE)
 
 
-@plan()
-def edge_segment(spark, sf):
-    """The batch chain: thin, link, clean, segment."""
-
-    def work(image_id, pdf):
-        cleaned = one.clean([e for _, e in _linked(pdf)], 5)
-        return [(image_id, k, 0, [list(q) for q in one.segment(e, 1.5)]) for k, e in enumerate(cleaned)]
-
-    return one.per_image(_bin(spark, sf), work, _EDGE)
-
-
-_LINE = "image_id long, line_id int, closed boolean, points int, wkt string"
-
-
-def _lines(image_id, pdf, tolerance, least=0.0):
-    out = []
-    for line in one.contours(one.grid(pdf), 0.5):
-        line = one.simplify(line, tolerance) if tolerance and len(line) > 2 else line
-        if len(line) > 1 and one.length(line) >= least:
-            out.append((image_id, len(out), line[0] == line[-1], len(line), "LINESTRING (" + ", ".join(f"{x:g} {y:g}" for x, y in line) + ")"))
-    return out
-
-
-@plan()
-def contours(spark, sf):
-    return one.per_image(_bin(spark, sf), lambda i, p: _lines(i, p, 0), _LINE)
-
-
-@plan()
-def simplify(spark, sf):
-    return one.per_image(_bin(spark, sf), lambda i, p: _lines(i, p, 1.0, 10.0), _LINE)
-
-
-@plan()
-def outer_polygons(spark, sf):
-    def work(image_id, pdf):
-        rings = one.outer_polygons(one.grid(pdf) > 0)
-        return [(image_id, k, len(r) - 1, round(abs(one.area(r)), 4), "POLYGON ((" + ", ".join(f"{x:g} {y:g}" for x, y in r) + "))") for k, r in enumerate(rings)]
-
-    return one.per_image(_bin(spark, sf), work, "image_id long, polygon_id int, corners int, area double, wkt string")
-
-
 @plan()
 def astar_path(spark, sf):
     def work(image_id, pdf):

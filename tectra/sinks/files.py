@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tectra.operators.per_image import grid
+from tectra.sinks import formats
 
 
 def encode_png(gray: np.ndarray) -> bytes:
@@ -39,7 +40,7 @@ def encode_tiff(gray: np.ndarray) -> bytes:
     return b"II*\0" + struct.pack("<IH", 8, len(tags)) + entries + struct.pack("<I", 0) + a.tobytes()
 
 
-ENCODERS = {"png": encode_png, "tiff": encode_tiff}
+ENCODERS = {"png": encode_png, "tiff": encode_tiff, "jpeg": formats.encode_jpeg}
 
 
 def encoded(px: DataFrame, kind: str = "png") -> DataFrame:
@@ -84,3 +85,19 @@ def svg_document(paths: DataFrame, width: int, height: int) -> DataFrame:
     lines = F.transform(F.sort_array(F.collect_list(F.struct("line_id", "path"))), lambda p: F.concat(F.lit('<path fill="none" stroke="black" d="'), p["path"], F.lit('"/>')))
     head = f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">'
     return paths.groupBy("page").agg(F.concat(F.lit(head), F.array_join(lines, ""), F.lit("</svg>")).alias("svg"))
+
+
+def svg_fitted(paths: DataFrame, width: int, height: int) -> DataFrame:
+    """(page, svg) of paths (page, line_id, path of whole numbers): one document a page on white, its paths scaled to
+    nine tenths of the room and centred; a page without extent is not scaled."""
+    numbers = F.transform(F.regexp_extract_all("path", F.lit(r"-?[0-9]+"), F.lit(0)), lambda n: n.cast("int"))
+    side = lambda odd: F.filter(numbers, lambda _, i: i % 2 == odd)
+    held = paths.withColumns({"xs": side(0), "ys": side(1)})
+    bounds = [f(g(c)).alias(n) for n, c, f, g in (("x0", "xs", F.min, F.array_min), ("x1", "xs", F.max, F.array_max), ("y0", "ys", F.min, F.array_min), ("y1", "ys", F.max, F.array_max))]
+    page = held.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("line_id", "path"))).alias("lines"), *bounds)
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    page = page.withColumn("k", F.when((w > 0) & (h > 0), F.least(F.lit(float(width)) / w, F.lit(float(height)) / h) * 0.9).otherwise(1.0))
+    shift = lambda room, low, size: F.format_string("%.4f", (room - size * F.col("k")) / 2 - F.col(low) * F.col("k"))
+    head = f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}"><rect width="100%" height="100%" fill="white"/><g transform="translate('
+    drawn = F.array_join(F.transform("lines", lambda p: F.concat(F.lit('<path fill="none" stroke="black" stroke-width="0.5" d="'), p["path"], F.lit('"/>'))), "")
+    return page.select("page", F.concat(F.lit(head), shift(width, "x0", w), F.lit(","), shift(height, "y0", h), F.lit(") scale("), F.format_string("%.4f", "k"), F.lit(')">'), drawn, F.lit("</g></svg>")).alias("svg"))

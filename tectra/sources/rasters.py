@@ -57,6 +57,12 @@ def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.col("user_id").alias("edge_id")).agg(pts.alias("pts"))
 
 
+def coarse_edges(spark: SparkSession, sf_dir: str, cell: int = 24) -> DataFrame:
+    """event_edges on a coarser grid, where ends of different lines coincide."""
+    place = lambda v: F.floor(v / cell).cast("int")
+    return event_edges(spark, sf_dir).withColumn("pts", F.transform("pts", lambda p: F.struct(place(p["r"]).alias("r"), place(p["c"]).alias("c"))))
+
+
 def vertices(edges: DataFrame) -> DataFrame:
     """(edge_id, i, r, c), i from 0."""
     return edges.select("edge_id", F.posexplode("pts").alias("i", "p")).select("edge_id", "i", "p.r", "p.c")
