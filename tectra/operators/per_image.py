@@ -285,26 +285,38 @@ def outer_polygons(b: np.ndarray, share: float = 0.01) -> list[list[tuple[float,
     return out
 
 
-def shortest(cost: np.ndarray, start, goal, cap: int = 1000) -> list[tuple[int, int]] | None:
-    """A* over eight neighbours; a step costs what it enters, the guess is the straight distance; gives
-    up after cap expansions."""
+#: Row-major order of the four near neighbours.
+CROSS = [(-1, 0), (0, -1), (0, 1), (1, 0)]
+
+
+def trace(cost: np.ndarray, start: tuple[int, int], goal: tuple[int, int], cap: int = 1000, around=AROUND) -> tuple[str, int, list[tuple[int, int]]]:
+    """A*: a step costs what it enters, the guess is the straight distance.  Gives found, none (no way) or stopped
+    (more than cap places were left behind), the number of those places, and the way (the start alone
+    where none is found).  Of equal sums the first place in row-major order comes first; steps cheaper than their
+    length make the guess too high, so a way need not be the cheapest."""
+
+    def guess(p) -> float:
+        return float(np.sqrt((p[0] - goal[0]) ** 2 + (p[1] - goal[1]) ** 2))
+
     best, back, closed = {start: 0.0}, {}, set()
-    heap = [(float(np.hypot(start[0] - goal[0], start[1] - goal[1])), start)]
-    while heap and len(closed) <= cap:
+    heap = [(guess(start), start)]
+    while heap:
         _, p = heapq.heappop(heap)
+        if p in closed:
+            continue
         if p == goal:
             path = [p]
             while path[-1] in back:
                 path.append(back[path[-1]])
-            return path[::-1]
-        if p in closed:
-            continue
+            return "found", len(closed), path[::-1]
+        if len(closed) > cap:
+            return "stopped", len(closed), [start]
         closed.add(p)
-        for dy, dx in AROUND:
+        for dy, dx in around:
             q = p[0] + dy, p[1] + dx
             if 0 <= q[0] < cost.shape[0] and 0 <= q[1] < cost.shape[1]:
-                g = best[p] + cost[q]
+                g = best[p] + float(cost[q])
                 if g < best.get(q, np.inf):
                     best[q], back[q] = g, p
-                    heapq.heappush(heap, (g + float(np.hypot(q[0] - goal[0], q[1] - goal[1])), q))
-    return None
+                    heapq.heappush(heap, (g + guess(q), q))
+    return "none", len(closed), [start]

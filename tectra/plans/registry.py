@@ -586,13 +586,3 @@ def edge_clean(spark, sf):
         return [(image_id, k, 0, [list(q) for q in e]) for k, e in enumerate(one.clean([e for _, e in _linked(pdf)], 5))]
 
     return one.per_image(_bin(spark, sf), work, _EDGE)
-
-
-@plan()
-def astar_path(spark, sf):
-    def work(image_id, pdf):
-        cost = 1 - one.grid(pdf) / 255
-        path = one.shortest(cost, (0, 0), (cost.shape[0] - 1, cost.shape[1] - 1))
-        return [(image_id, path is not None, [list(p) for p in path or []])]
-
-    return one.per_image(_u8(spark, sf), work, "image_id long, found boolean, pts array<array<int>>")

@@ -87,9 +87,11 @@ def test_contour_round_a_pixel_is_closed():
 def test_shortest_goes_round_a_wall():
     cost = np.ones((5, 5))
     cost[1:5, 2] = 100
-    path = one.shortest(cost, (4, 0), (4, 4))
-    assert path[0] == (4, 0) and path[-1] == (4, 4) and all(p == (0, 2) or p[1] != 2 for p in path)
-    assert one.shortest(cost, (4, 0), (4, 4), cap=2) is None
+    for around in (one.AROUND, one.CROSS):
+        status, _, path = one.trace(cost, (4, 0), (4, 4), around=around)
+        assert status == "found" and path[0] == (4, 0) and path[-1] == (4, 4) and all(p == (0, 2) or p[1] != 2 for p in path)
+    assert one.trace(cost, (4, 0), (4, 4), cap=2) == ("stopped", 3, [(4, 0)])
+    assert one.trace(cost, (4, 0), (9, 9)) == ("none", 25, [(4, 0)])
 
 
 def test_shearlet_edges_find_a_step():
