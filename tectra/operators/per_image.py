@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 import os
-from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -82,165 +81,11 @@ def hysteresis(flags: np.ndarray) -> np.ndarray:
     return np.isin(label, np.unique(label[flags == 2])) & (flags > 0)
 
 
-def link(b: np.ndarray) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Edges of a thin mask as (type, points): 0 between free ends, 1 to one junction, 3 between
-    junctions, 5 loops.  Junctions are pixels with six changes or more around them, ends those with
-    two; walks go from ends, then junctions, then round what is left, all in row-major order."""
-    n = ring(b.astype(int))
-    changes = np.abs(n - np.roll(n, -1, axis=0)).sum(axis=0)
-    live = {tuple(p) for p in np.argwhere(b).tolist()}
-    joints = {p for p in live if changes[p] >= 6}
-    free_ends = {p for p in live if changes[p] == 2}
-    used: set = set()
-    edges = []
-
-    def around(p):
-        return [(p[0] + dy, p[1] + dx) for dy, dx in AROUND if (p[0] + dy, p[1] + dx) in live]
-
-    def walk(start, second):
-        path = [start, second]
-        used.add(second)
-        while path[-1] not in joints:
-            near = around(path[-1])
-            ahead = [q for q in near if q in joints and q != path[-2] and (q != start or len(path) > 3)]
-            if ahead:
-                path.append(ahead[0])
-                break
-            free = [q for q in near if q not in used and q not in joints and q != start]
-            if not free:
-                if len(path) > 3 and start in near and start not in joints:
-                    path.append(start)
-                break
-            free.sort(key=lambda q: (abs(q[0] - path[-1][0]) + abs(q[1] - path[-1][1]), q))
-            path.append(free[0])
-            used.add(free[0])
-        return path
-
-    def keep(path):
-        if len(path) > 1:
-            at = (path[0] in joints) + (path[-1] in joints)
-            edges.append((5 if path[0] == path[-1] else 3 if at == 2 else 1 if at else 0, path))
-
-    for p in sorted(free_ends - joints):
-        if p not in used:
-            used.add(p)
-            ahead = sorted(around(p), key=lambda q: (q not in joints, q))
-            ahead = [q for q in ahead if q not in used]
-            if ahead:
-                keep([p, ahead[0]] if ahead[0] in joints else walk(p, ahead[0]))
-    for p in sorted(joints):
-        for q in around(p):
-            if q in joints and p < q:
-                keep([p, q])
-            elif q not in joints and q not in used:
-                keep(walk(p, q))
-    for p in sorted(live - joints - used):
-        if p not in used:
-            used.add(p)
-            ahead = [q for q in around(p) if q not in used and q not in joints]
-            if ahead:
-                path = walk(p, ahead[0])
-                if path[0] == path[-1]:
-                    keep(path)
-    return edges
-
-
 def length(path) -> float:
     p = np.asarray(path, float)
     return float(np.hypot(*np.diff(p, axis=0).T).sum()) if len(p) > 1 else 0.0
 
 
-def clean(edges: list, least: float) -> list:
-    """Joins edges at places where exactly two meet, then drops short ones with a free end."""
-    edges = [list(map(tuple, e)) for e in edges]
-    while True:
-        at = defaultdict(list)
-        for i, e in enumerate(edges):
-            if e[0] != e[-1]:
-                at[e[0]].append((i, 0))
-                at[e[-1]].append((i, -1))
-        pair = next((v for _, v in sorted(at.items()) if len(v) == 2 and v[0][0] != v[1][0]), None)
-        if pair is None:
-            break
-        (i, a), (j, b) = pair
-        first = edges[i] if a == -1 else edges[i][::-1]
-        second = edges[j] if b == 0 else edges[j][::-1]
-        edges = [e for k, e in enumerate(edges) if k not in (i, j)] + [first + second[1:]]
-    degree = defaultdict(int)
-    for e in edges:
-        degree[e[0]] += 1
-        degree[e[-1]] += 1
-    return sorted(e for e in edges if length(e) >= least or (degree[e[0]] > 1 and degree[e[-1]] > 1 and e[0] != e[-1]))
-
-
-def deviation(p: np.ndarray) -> tuple[float, int]:
-    """Largest distance from the chord (from the first point, if the ends meet), and where."""
-    d = p[-1] - p[0]
-    span = np.hypot(*d)
-    away = np.abs(d[0] * (p[:, 1] - p[0, 1]) - d[1] * (p[:, 0] - p[0, 0])) / span if span else np.hypot(*(p - p[0]).T)
-    return float(away.max()), int(away.argmax())
-
-
-def segment(path, tolerance: float) -> list[tuple]:
-    """Points of a polyline that stays within tolerance: each piece shrinks to its worst point until
-    it fits."""
-    p, out, at = np.asarray(path, float), [0], 0
-    while at < len(p) - 1:
-        end = len(p) - 1
-        while end - at > 1:
-            worst, where = deviation(p[at : end + 1])
-            if worst <= tolerance or where in (0, end - at):
-                break
-            end = at + where
-        out.append(end)
-        at = end
-    return [tuple(path[i]) for i in out]
-
-
-def simplify(path, tolerance: float) -> list[tuple]:
-    """Douglas and Peucker."""
-    p, keep, todo = np.asarray(path, float), {0, len(path) - 1}, [(0, len(path) - 1)]
-    while todo:
-        a, b = todo.pop()
-        if b - a > 1:
-            worst, where = deviation(p[a : b + 1])
-            if worst > tolerance:
-                keep.add(a + where)
-                todo += [(a, a + where), (a + where, b)]
-    return [tuple(path[i]) for i in sorted(keep)]
-
-
-def contours(v: np.ndarray, level: float) -> list[list[tuple[float, float]]]:
-    """Lines of equal value through the cells of a grid (marching squares), as (x, y)."""
-    h, w = v.shape
-    pieces = defaultdict(list)
-
-    def cross(a, b):
-        t = (level - v[a]) / (v[b] - v[a])
-        return (round(a[1] + t * (b[1] - a[1]), 6), round(a[0] + t * (b[0] - a[0]), 6))
-
-    for y in range(h - 1):
-        for x in range(w - 1):
-            c = [(y, x), (y, x + 1), (y + 1, x + 1), (y + 1, x)]
-            hits = [cross(c[i], c[(i + 1) % 4]) for i in range(4) if (v[c[i]] > level) != (v[c[(i + 1) % 4]] > level)]
-            if len(hits) == 4 and (v[c[0]] > level) != (v[y : y + 2, x : x + 2].mean() > level):
-                hits = hits[1:] + hits[:1]
-            for a, b in zip(hits[::2], hits[1::2], strict=True):
-                pieces[a].append(b)
-                pieces[b].append(a)
-    lines = []
-    for start in sorted(pieces, key=lambda p: (len(pieces[p]) != 1, p)):
-        while pieces[start]:
-            line, here = [start], start
-            while pieces[here]:
-                after = pieces[here].pop(0)
-                pieces[after].remove(here)
-                line.append(after)
-                here = after
-            lines.append(line)
-    return lines
-
-
 def area(ring) -> float:
     """Signed area of a closed ring (first point repeated)."""
     x, y = np.asarray(ring, float).T
@@ -265,26 +110,6 @@ def is_simple(ring) -> bool:
     return True
 
 
-def outer_polygons(b: np.ndarray, share: float = 0.01) -> list[list[tuple[float, float]]]:
-    """Closed outer borders (x, y) of the components that no other one surrounds, simplified within a
-    share of their length; those with under three corners or with crossing sides are left out."""
-    cross = [(-1, 0), (0, -1), (0, 1), (1, 0)]
-    p = np.pad(b.astype(bool), 1)
-    outside = components(~p, cross) == 0
-    reached = np.pad(outside, 1)
-    touched = np.logical_or.reduce([reached[1 + dy : 1 + dy + p.shape[0], 1 + dx : 1 + dx + p.shape[1]] for dy, dx in cross])
-    label, out = components(p), []
-    for one in np.unique(label[p & touched]).tolist():
-        ys, xs = np.nonzero(label == one)
-        y0, x0 = ys.min() - 1, xs.min() - 1
-        part = label[y0 : ys.max() + 2, x0 : xs.max() + 2] == one
-        ring = max(contours(part.astype(float), 0.5), key=lambda line: abs(area(line)))
-        ring = simplify([(x + x0 - 1, y + y0 - 1) for x, y in ring], share * length(ring))
-        if len(ring) > 3 and is_simple(ring):
-            out.append([(float(x), float(y)) for x, y in ring])
-    return out
-
-
 #: Row-major order of the four near neighbours.
 CROSS = [(-1, 0), (0, -1), (0, 1), (1, 0)]
 

@@ -566,23 +566,3 @@ def components(spark, sf):
 @plan()
 def skeleton(spark, sf):
     return one.per_image(_bin(spark, sf), lambda i, p: [(i, y, x) for y, x in np.argwhere(one.skeleton(one.grid(p) > 0)).tolist()], "image_id long, y int, x int")
-
-
-_EDGE = "image_id long, edge_id int, etype int, pts array<array<int>>"
-
-
-def _linked(pdf):
-    return one.link(one.skeleton(one.grid(pdf) > 0))
-
-
-@plan()
-def edge_link(spark, sf):
-    return one.per_image(_bin(spark, sf), lambda i, p: [(i, k, t, [list(q) for q in e]) for k, (t, e) in enumerate(_linked(p))], _EDGE)
-
-
-@plan()
-def edge_clean(spark, sf):
-    def work(image_id, pdf):
-        return [(image_id, k, 0, [list(q) for q in e]) for k, e in enumerate(one.clean([e for _, e in _linked(pdf)], 5))]
-
-    return one.per_image(_bin(spark, sf), work, _EDGE)

@@ -6,11 +6,14 @@ import os
 import numpy as np
 import pytest
 
+from tectra.operators import borders as bd
+from tectra.operators import linking as lk
 from tectra.operators import per_image as one
 from tectra.operators import raster as ops
 from tectra.operators import shearlets
 from tectra.operators import thinning as thins
-from tectra.sinks import files
+from tectra.plans import lines
+from tectra.sinks import files, formats
 from tectra.sources import rasters as src
 
 
@@ -26,7 +29,7 @@ PLUS = mask(".......", "...#...", "...#...", ".#####.", "...#...", "...#...", ".
 
 @pytest.mark.parametrize("figure", [LINE, LINE.T, np.eye(5, dtype=bool)])
 def test_a_line_is_one_free_edge(figure):
-    edges = one.link(figure)
+    edges = lk.link(figure)
     assert [t for t, _ in edges] == [0]
     assert len(edges[0][1]) == 5
     assert math.isclose(one.length(edges[0][1]), 4 * (math.sqrt(2) if figure.shape == (5, 5) else 1))
@@ -34,27 +37,43 @@ def test_a_line_is_one_free_edge(figure):
 
 def test_link_covers_every_pixel_of_a_figure():
     for figure in (LINE, ELL, RING, PLUS):
-        edges = one.link(figure)
+        edges = lk.link(figure)
         assert {tuple(p) for _, e in edges for p in e} == {tuple(p) for p in np.argwhere(figure).tolist()}
         for _, e in edges:
             assert all(max(abs(a - c), abs(b - d)) == 1 for (a, b), (c, d) in zip(e, e[1:], strict=False))
 
 
 def test_a_ring_is_a_loop():
-    (kind, path), = one.link(RING)
+    (kind, path), = lk.link(RING)
     assert kind == 5 and path[0] == path[-1] and len(path) == 5
 
 
 def test_a_plus_has_four_ends():
-    n = one.ring(PLUS.astype(int))
-    changes = np.abs(n - np.roll(n, -1, axis=0)).sum(axis=0)
-    assert ((changes == 2) & PLUS).sum() == 4
-    assert [t for t, _ in one.link(PLUS)] == [1, 1, 1, 1]
+    assert (lk.turns(PLUS)[PLUS] == 2).sum() == 4
+    assert [t for t, _ in lk.link(PLUS)] == [lk.ENDED] * 4
+    assert all(e[-1] == (3, 3) for _, e in lk.link(PLUS))
+
+
+def test_neighbouring_junctions_have_an_edge_of_two_points():
+    figure = mask("..#....", "..#....", "###....", "..##...", "...####", "...#...", "...#...")
+    linker = lk.Linker(figure)
+    edges = lk.link(figure)
+    assert all(e[i] in linker.live for _, e in edges for i in range(len(e)))
+    assert {p for _, e in edges for p in e} == linker.live
+
+
+def test_a_walk_goes_straight_on():
+    figure = mask(".......", "#######", "...#...", "...#...", ".......")
+    assert lk.Linker(figure).walk((1, 0))[1][:3] == [(1, 0), (1, 1), (1, 2)]
+
+
+def test_unit_vectors_have_length_one():
+    assert math.isclose(math.hypot(*lk.unit((0, 0), (3, 4))), 1)
 
 
 def test_no_edges_without_pixels():
-    assert one.link(np.zeros((3, 3), bool)) == []
-    assert one.contours(np.zeros((3, 3)), 0.5) == []
+    assert lk.link(np.zeros((3, 3), bool)) == []
+    assert bd.borders(np.zeros((3, 3), bool)) == []
 
 
 def test_skeleton_is_thin_and_connected():
@@ -68,20 +87,32 @@ def test_skeleton_is_thin_and_connected():
 
 def test_clean_joins_pairs_and_drops_short_ends():
     a, b, c = [(0, i) for i in range(5)], [(0, i) for i in range(4, 9)], [(9, 9), (9, 10)]
-    assert one.clean([a, b, c], 3) == [[(0, i) for i in range(9)]]
+    assert lk.clean([a, b, c], 3) == [[(0, i) for i in range(9)]]
+
+
+def test_clean_drops_the_shortest_spur_and_joins_the_rest():
+    left, right = [(0, i) for i in range(6)], [(0, i) for i in range(5, 12)]
+    spur = [(0, 5), (1, 5)]
+    assert lk.clean([left, right, spur], 4) == [[(0, i) for i in range(12)]]
+    cross = [[(5, 5), (5 + dy * k, 5 + dx * k)] for dy, dx, k in ((0, 5, 1), (5, 0, 1), (0, -5, 1), (-1, 0, 1))]
+    assert lk.clean(cross, 3) == cross[:3]
+    ring = [(0, 0), (0, 1), (1, 1), (0, 0)]
+    assert lk.clean([ring], 9) == [] and lk.clean([ring], 1) == [ring]
 
 
 def test_segment_and_simplify_keep_corners():
-    path = [(i, 0) for i in range(6)] + [(5, j) for j in range(1, 6)]
-    assert one.segment(path, 0.5) == one.simplify(path, 0.5) == [(0, 0), (5, 0), (5, 5)]
+    path = np.array([(i, 0) for i in range(6)] + [(5, j) for j in range(1, 6)])
+    assert [tuple(p) for p in bd.simplified(path, 0.5).tolist()] == [(0, 0), (5, 0), (5, 5)]
+    assert [tuple(path[i]) for i in bd.segmented_places(path, 0.5)] == [(0, 0), (5, 0), (5, 5)]
 
 
-def test_contour_round_a_pixel_is_closed():
-    v = np.zeros((5, 5))
-    v[2, 2] = 1
-    (line,) = one.contours(v, 0.5)
-    assert line[0] == line[-1]
-    assert set(line) == {(1.5, 2.0), (2.0, 1.5), (2.5, 2.0), (2.0, 2.5)}
+def test_border_of_a_pixel_and_of_a_block_with_a_hole():
+    dot = mask("...", ".#.", "...")
+    assert [(a, p.tolist()) for _, a, p in bd.borders(dot)] == [(1, [[1, 1]])]
+    block = mask("....", ".###", ".#.#", ".###")
+    (_, outer, ring), (_, hole, inner) = bd.borders(block)
+    assert (outer, hole, len(ring), len(inner)) == (9, -1, 8, 4)
+    assert [tuple(p) for p in bd.corners(ring).tolist()] == [(3, 1), (3, 3), (1, 3), (1, 1)]
 
 
 def test_shortest_goes_round_a_wall():
@@ -201,19 +232,34 @@ def test_svg_document_is_ordered(spark):
     assert svg.index("M 0 0") < svg.index("M 1 1") and svg.startswith("<svg") and svg.endswith("</svg>")
 
 
-def test_outer_polygons_leave_out_holes_and_islands():
-    b = np.zeros((20, 20), bool)
-    b[2:18, 2:18] = True
-    b[5:15, 5:15] = False
-    b[8:12, 8:12] = True
-    (ring,) = one.outer_polygons(b)
-    assert ring[0] == ring[-1] and one.is_simple(ring)
-    # A border of length 64 moves inwards by at most a hundredth of its length.
-    assert 256 - 64 * 0.64 <= abs(one.area(ring)) <= 256
-    (exact,) = one.outer_polygons(b, 0)
-    assert abs(one.area(exact)) == 16 * 16 - 4 / 8
-    assert one.outer_polygons(np.zeros((3, 3), bool)) == []
-    assert len(one.outer_polygons(np.ones((4, 4), bool))) == 1
+def test_formats_come_back():
+    a = np.arange(48).reshape(6, 8) * 5
+    transform = (2.5, 0.0, 100.0, 0.0, -3.0, 900.0)
+    found, there, epsg = formats.decode_tiff(formats.encode_geotiff(a, transform, 32633))
+    assert (found == a).all() and there == transform and epsg == 32633
+    plain, none, _ = formats.decode_tiff(files.encode_tiff(a))
+    assert (plain == a).all() and none is None
+    with pytest.raises(ValueError):
+        formats.decode_tiff(b"no image")
+    lines = [[(0.0, 1.0), (2.5, 3.0)], [(9.0, 9.0), (8.0, 7.0), (6.0, 5.0)]]
+    made = formats.encode_shapefile(lines, "X")
+    assert formats.decode_shapefile(made["shp"]) == lines and sorted(made) == ["dbf", "prj", "shp", "shx"]
+    assert int.from_bytes(made["shp"][24:28], "big") * 2 == len(made["shp"])
+    assert formats.decode_shapefile(formats.encode_shapefile([])["shp"]) == []
+
+
+def test_jpeg_of_a_ramp(spark, tmp_path):
+    y, x = np.indices((21, 30))
+    a = y * 4 + x * 5
+    (tmp_path / "a.jpg").write_bytes(formats.encode_jpeg(a))
+    read = src.image_pixels(src.images(spark, str(tmp_path), "*.jpg")).collect()
+    assert len(read) == a.size and max(abs(int(a[r.y, r.x]) - r.b) for r in read) <= 6
+
+
+def test_paths_with_all_commands(spark):
+    rows = spark.createDataFrame([(1, "m 1 2 h 5 V 7 L 0 0 3 4 C 9 9 9 9 9 9 Z H 8"), (2, "")], "edge_id int, path string")
+    found = sorted((r.i, r.x, r.y) for r in lines.parse_paths(rows).collect())
+    assert [p[1:] for p in found] == [(1, 2), (5, 2), (5, 7), (0, 0), (3, 4), (1, 2), (8, 4)]
 
 
 def test_crossing_sides_are_found():
