@@ -55,7 +55,7 @@ def test_odd_rows(spark):
         (10**9 + 3, prose.text[::-1], "en", "src2", 0, "a", 1),
         (10**9 + 4, prose.text[:300] + " word" * 40000, "en", "src3", 0, "a", 1),
     ]
-    docs = known.unionByName(spark.createDataFrame(odd, known.schema))
+    docs = known.unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long, digest string, rows int"))
     lang, exact, near, mixed, packed = staged(spark, docs)
     for stage in (lang, exact, near, mixed):
         assert stage.columns == docs.columns
