@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words that a worker keeps, about 40 bytes each; bytes of text whose words are hashed at once.
-CACHE, CHUNK = 1_500_000, 1 << 22
+CACHE, CHUNK = 3_000_000, 1 << 22
 #: Bytes of the longest word that is hashed.
 LONGEST = 4096
 _LONE = b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
