@@ -6,10 +6,11 @@ import os
 import re
 import tempfile
 import uuid
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tectra.operators import per_image as one
@@ -175,15 +176,37 @@ def shapefile_round_trip(spark, sf):
     return found.mapInPandas(decode, "name string, line_no int, i int, x double, y double").select(_id(), "line_no", "i", "x", "y")
 
 
+#: A project's folder: a table (a folder) for each part, one row a line of an image.
+_PARTS = ("image", "mask", "filtered_image")
+_SAVED = "image_id long, y int, x array<int>, v array<int>, part string"
+
+
+def save_project(px: DataFrame, path: str) -> None:
+    """Writes px (image_id, y, x and a whole number for each part) as a project; one pass makes all its tables."""
+    row = ops.lines(px)
+    parts = F.array(*(F.struct(F.lit(p).alias("part"), F.col(f"cells.{p}").alias("v")) for p in _PARTS))
+    row.select("image_id", "y", "cells.x", F.explode(parts).alias("t")).select("image_id", "y", "x", "t.v", "t.part").write.partitionBy("part").parquet(path)
+
+
+def open_project(spark: SparkSession, path: str) -> DataFrame:
+    """(image_id, y, x, image, mask, filtered_image) of a project.  Lines are joined, not pixels, and never by a
+    broadcast: Spark would decide on one by the size of the files, which pixels exceed a hundredfold in memory."""
+    saved = spark.read.schema(_SAVED).parquet(path)
+    image, *rest = (saved.filter(F.col("part") == p).select("image_id", "y", F.col("x").alias(f"x_{p}"), F.col("v").alias(p)) for p in _PARTS)
+    for part in rest:
+        image = image.join(part.hint("merge"), ["image_id", "y"])
+    same = reduce(Column.__and__, (F.col(f"x_{_PARTS[0]}") == F.col(f"x_{p}") for p in _PARTS[1:]))
+    places = F.when(same, F.col(f"x_{_PARTS[0]}")).otherwise(F.raise_error(F.lit("a project's tables have different pixels")).cast("array<int>"))
+    return image.withColumn("x", places).select("image_id", "y", F.inline(F.arrays_zip("x", *_PARTS)))
+
+
 @plan(f"WITH {filters._SOBEL_ABS} SELECT u.image_id, u.y, u.x, u.v AS image, CASE WHEN u.v > 128 THEN 1 ELSE 0 END AS mask, s.v AS filtered FROM u8 u JOIN sobel_c s ON s.image_id = u.image_id AND s.y = u.y AND s.x = u.x")
 def project_round_trip(spark, sf):
     """A project (image, mask and filtered image) saved as a folder of tables and opened again."""
-    path, px = scratch(spark, "project"), base._u8(spark, sf)
-    parts = {"image": px, "mask": px.select(*KEY, (F.col("v") > 128).cast("int").alias("v")), "filtered_image": base.sobel_mag_abs(spark, sf)}
-    for name, part in parts.items():
-        part.write.parquet(f"{path}/{name}")
-    image, mask, found = (spark.read.parquet(f"{path}/{name}") for name in parts)
-    return image.withColumnRenamed("v", "image").join(mask.withColumnRenamed("v", "mask"), KEY).join(found.withColumnRenamed("v", "filtered"), KEY)
+    path = scratch(spark, "project")
+    px = ops.sobel(base._u8(spark, sf))
+    save_project(px.select(*KEY, F.col("v").alias("image"), F.when(F.col("v") > 128, 1).otherwise(0).alias("mask"), base._blend().alias("filtered_image")), path)
+    return open_project(spark, path).withColumnRenamed("filtered_image", "filtered")
 
 
 _PATHS = ORACLES["contour_paths"]

@@ -5,7 +5,9 @@ from datetime import datetime, timedelta
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
+from tectra.plans import files
 from tectra.queries import ORACLES, QUERIES
 
 START = datetime(2024, 1, 1)
@@ -65,3 +67,28 @@ def test_nearest_vertex_with_missing_values_agrees_with_the_oracle(spark, tmp_pa
     want = con.execute(f"SELECT req_id, edge_id, i, d2 FROM ({ORACLES['nearest_vertex']})").fetchall()
     assert len(want) == 3
     assert sorted(map(tuple, QUERIES["nearest_vertex"](spark, sf).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_project_round_trip_broadcasts_no_pixels(spark):
+    found = QUERIES["project_round_trip"](spark, "/root/testdata/sf0.001")
+    assert found.count() == len(found.collect()) == 32000
+    kinds = [n.getClass().getSimpleName() for n in nodes(found._jdf.queryExecution().executedPlan())]
+    assert "SortMergeJoinExec" in kinds
+    assert not [k for k in kinds if "Broadcast" in k]
+    assert joined(found) <= 500  # lines of 64 pixels
+
+
+def test_an_empty_project_is_saved_and_opened(spark, tmp_path):
+    rows = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert QUERIES["project_round_trip"](spark, str(tmp_path)).collect() == []
+
+
+def test_a_project_whose_tables_have_different_pixels_is_refused(spark, tmp_path):
+    px = spark.createDataFrame([(1, 0, x, x, 0, 9) for x in range(3)], "image_id long, y int, x int, image int, mask int, filtered_image int")
+    files.save_project(px, f"{tmp_path}/whole")
+    assert sorted(map(tuple, files.open_project(spark, f"{tmp_path}/whole").collect())) == [(1, 0, x, x, 0, 9) for x in range(3)]
+    lines = spark.createDataFrame([(1, 0, [0, 1], [5, 5], "image"), (1, 0, [0, 1], [1, 1], "mask"), (1, 0, [0, 2], [9, 9], "filtered_image")], files._SAVED)
+    lines.write.partitionBy("part").parquet(f"{tmp_path}/torn")
+    with pytest.raises(Exception, match="different pixels"):
+        files.open_project(spark, f"{tmp_path}/torn").collect()
